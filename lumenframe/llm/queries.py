@@ -32,6 +32,25 @@ def op4_toxic_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "score", "predicted", "flagged", "lang")
 
 
+def op5_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .interpolm import scores
+
+    return scores(_t(spark, sf_dir, "documents"))
+
+
+def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langmix import identify, learnable
+
+    out = identify(_t(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "langs", "proportions")
+
+
+def op7_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .anisoann import search
+
+    return search(_t(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .grayhash import groups
 
@@ -56,6 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_frequency": op2_line_frequency,
     "op3_mix_flow": op3_mix_flow,
     "op4_toxic_cnn": op4_toxic_cnn,
+    "op5_interpolated_lm": op5_interpolated_lm,
+    "op6_language_mixture": op6_language_mixture,
+    "op7_anisotropic_ann": op7_anisotropic_ann,
     "op8_simhash_gray": op8_simhash_gray,
     "op9_url_rules": op9_url_rules,
     "op10_decontaminate": op10_decontaminate,
