@@ -12,6 +12,12 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quotelink import conversations
+
+    return conversations(_t(spark, sf_dir, "conversations"))
+
+
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linefreq import drop_boilerplate
 
@@ -72,6 +78,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quote_links": op1_quote_links,
     "op2_line_frequency": op2_line_frequency,
     "op3_mix_flow": op3_mix_flow,
     "op4_toxic_cnn": op4_toxic_cnn,
@@ -84,6 +91,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    # The tables hold no quoted lines, so there every message replies to the turn before it;
+    # quotes are tested against brute force.
+    "op1_quote_links": r"""
+WITH m AS (SELECT conv_id, turn, role, text, count(*) AS copies FROM conversations GROUP BY ALL)
+SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '\r\n|\r', chr(10), 'g') AS text, copies,
+       CAST(0 AS BIGINT) AS n_quotes, CAST(0 AS BIGINT) AS n_linked, lag(turn) OVER w AS parent_turn,
+       CASE WHEN lag(turn) OVER w IS NULL THEN NULL ELSE 'previous' END AS linked_by,
+       CAST(row_number() OVER w - 1 AS INTEGER) AS depth, row_number() OVER w AS position
+FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+""",
     "op2_line_frequency": r"""
 WITH pages AS (SELECT doc_id, source, text, row_number() OVER () AS r FROM documents),
 lines AS (
