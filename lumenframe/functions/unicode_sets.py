@@ -42,21 +42,51 @@ def char_class(prop: str, negated: bool = False) -> str:
     return f"[{'^' if negated else ''}{body(ranges(prop))}]"
 
 
+def _tier(low: int, high: int) -> str:
+    return f"[\\x{{{low:x}}}-\\x{{{high - 1:x}}}]"
+
+
+def _own(prop: str, low: int, high: int) -> list[tuple[int, int]]:
+    return [(max(a, low), min(b, high - 1)) for a, b in ranges(prop) if a < high and b >= low]
+
+
 @cache
-def tiered(prop: str, negated: bool = False) -> str:
-    """One character with (or without) the property, tested tier by tier of the code space."""
+def tiered(prop: str) -> str:
+    """One character with the property, tested tier by tier of the code space."""
     parts, low = [], 0
     for high in TIERS:
-        own = [(max(a, low), min(b, high - 1)) for a, b in ranges(prop) if a < high and b >= low]
-        tier = f"[\\x{{{low:x}}}-\\x{{{high - 1:x}}}]"
-        if own:
-            parts.append(f"(?={tier})[{'^' if negated else ''}{body(own)}]")
-        elif negated:
-            parts.append(tier)
+        if own := _own(prop, low, high):
+            parts.append(f"(?={_tier(low, high)})[{body(own)}]")
         low = high
     return f"(?:{'|'.join(parts)})"
 
 
+@cache
+def cut_others(prop: str) -> tuple[str, ...]:
+    """Patterns that delete, one after the other, every character without the property.
+
+    ASCII goes in runs first.  The rest goes character by character: the JVM
+    recurses for a repeated alternative, and would run out of stack on long runs.
+    """
+    ascii_own = _own(prop, 0, 0x80)
+    first = f"[{body(_gaps(ascii_own, 0x80))}]+"
+    parts, low = [], 0x80
+    for high in TIERS[1:]:
+        own = _own(prop, low, high)
+        parts.append(f"(?={_tier(low, high)})[^{body(own)}]" if own else _tier(low, high))
+        low = high
+    return first, f"(?![\\x{{0}}-\\x{{7f}}])(?:{'|'.join(parts)})"
+
+
+def _gaps(spans: list[tuple[int, int]], end: int) -> list[tuple[int, int]]:
+    out, at = [], 0
+    for a, b in spans:
+        if a > at:
+            out.append((at, a - 1))
+        at = b + 1
+    return out + ([(at, end - 1)] if at < end else [])
+
+
 def members(chars) -> str:
     """Class of the given characters."""
     return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(chars)) + "]"
