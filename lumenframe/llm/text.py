@@ -38,9 +38,22 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def rebased(texts: pa.Array) -> pa.Array:
+    """The same strings without nulls (null is empty), in buffers that start at their first byte.
+
+    Some Arrow string kernels read a slice from the start of its parent's buffer.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    if not texts.offset and not at[0]:
+        return texts
+    data = texts.buffers()[2].slice(int(at[0]), int(at[-1] - at[0]))
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((at - at[0]).tobytes()), data)
+
+
 def arrow_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """All words of a batch of whole texts, in order, and the number of words of each text."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = rebased(texts)
     if lower:
         texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)
