@@ -189,6 +189,8 @@ def links(items: DataFrame, radius: int, *, agree: int = 1, by_distance: bool =
     tables = _tables(radius, agree)
 
     def bits(lo: int, hi: int) -> Column:
+        if hi - lo == 64:
+            return F.col("fp")
         return F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long"))
 
     def packed(cuts) -> Column:
@@ -373,11 +375,13 @@ def representatives(
     rows = marks.join(winner, (marks["node"] == winner["node"]) & marks["key"].eqNullSafe(winner["low"])).groupBy(marks["node"], marks["key"]).agg(F.count("*").alias("n"))
     rows = saved(rows, "winners")
 
+    names = docs.columns
+
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in split_batch(batch, text_col):
                 keys, _ = batch_word_prints(part.column(text_col))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys.view(np.int64))], [*docs.columns, "__lf_node"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys.view(np.int64))], [*names, "__lf_node"])
 
     full = docs.mapInArrow(tagged, T.StructType([*docs.schema.fields, T.StructField("__lf_node", T.LongType())]))
     on = (F.col("__lf_node") == F.col("w.node")) & F.col(id_col).eqNullSafe(F.col("w.key"))
