@@ -184,7 +184,8 @@ def fit(
     draw = F.pmod(F.xxhash64(F.lit("toxcnn"), id_col), F.lit(1 << 20)) / float(1 << 20)
     picked = known.filter(draw < rate).select(F.col(id_col).alias("__lf_id"), "y")
     lang = F.col(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).alias("__lf_id"), F.col(text_col).alias("text"), lang.alias("lang")).join(picked, "__lf_id").select("__lf_id", "text", "lang", "y")
+    # the draw bounds the sample, whatever the input, so ids go to the texts and not texts to the ids
+    rows = docs.select(F.col(id_col).alias("__lf_id"), F.col(text_col).alias("text"), lang.alias("lang")).join(F.broadcast(picked), "__lf_id").select("__lf_id", "text", "lang", "y")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
