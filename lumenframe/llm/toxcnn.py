@@ -14,6 +14,7 @@ training.
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import arrow_words, split_batch
 
@@ -39,8 +41,8 @@ def word_rows(words: pa.Array, buckets: int = BUCKETS) -> np.ndarray:
 
 
 def bare(words: pa.Array) -> pa.Array:
-    """Words without punctuation at their ends; one that has nothing else stays."""
-    cut = pc.utf8_trim(words, ".,;:!?\"'()[]")
+    """Words without ASCII punctuation at their ends; one that has nothing else stays."""
+    cut = pc.ascii_trim(words, string.punctuation)
     return pc.if_else(pc.equal(pc.binary_length(cut), 0), words, cut)
 
 
@@ -80,8 +82,12 @@ class Cnn:
         return np.where(n, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, *, epochs: int = 6, rate: float = 0.15, seed: int = 3, buckets: int = BUCKETS) -> Cnn:
-    """Fit by Adagrad, one document at a time; ``docs`` holds (words, 3) table rows."""
+def train(docs: list[np.ndarray], labels: np.ndarray, *, epochs: int | None = None, rate: float = 0.15, seed: int = 3, buckets: int = BUCKETS) -> Cnn:
+    """Fit by Adagrad, one document at a time; ``docs`` holds (words, 3) table rows.
+
+    About 20,000 steps, between 6 and 30 epochs, unless ``epochs`` says otherwise.
+    """
+    epochs = epochs or int(np.clip(20_000 // max(len(docs), 1), 6, 30))
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (buckets, DIM)).astype(np.float32)
     table[0] = 0
@@ -94,7 +100,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, *, epochs: int = 6, rate:
     g_out, g_ob = np.full_like(out, 1e-2), 1e-2
     share = max(labels.mean(), 1e-3) if len(labels) else 0.5
     weight = np.where(labels > 0, min(0.5 / share, 5.0), 1.0)
-    for epoch in range(epochs):
+    for _ in range(epochs):
         for i in rng.permutation(len(docs)):
             rows = docs[i] if len(docs[i]) else np.zeros((1, 3), np.int64)
             x = table[rows].sum(axis=1)
@@ -245,8 +251,6 @@ def judge(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", lang_co
             for part in split_batch(batch, text_col):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(net.scores(part.column(text_col)))], [*fields, "score"])
 
-    from pyspark.sql import types as T
-
     out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
     cut = F.lit(model.default_threshold)
     if lang_col in docs.columns:
