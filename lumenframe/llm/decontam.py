@@ -92,7 +92,8 @@ def leaks(
     shingle.  Equal items are found under each of their ids.
 
     Nulls: a null or empty text, or an item without words, has no window and no
-    row.  Very long texts are taken whole.  Ties go to the first window.
+    row.  Very long texts are taken whole.  Of equally
+    similar windows the first one looked at (see ``between``) is named.
     """
     text = F.col(text_col)
     items = (

@@ -75,8 +75,8 @@ def tokens(url: Column) -> Column:
 def mine(labelled: DataFrame, min_support: float, min_confidence: float, min_lift: float, min_count: int) -> DataFrame:
     """Rules from (tokens, bad): id, antecedent tokens, confidence, lift, support, and the indexed token.
 
-    Tokens under the support never enter FP-growth, so transactions are short;
-    ``min_count`` is the least number of bad urls behind a rule.
+    ``min_count`` is the least number of bad urls behind a rule.  FP-growth drops
+    tokens under the support before it deals transactions out.
     """
     spark = labelled.sparkSession
     n, n_bad = labelled.agg(F.count("*"), F.sum(F.col("bad").cast("int"))).first()
@@ -89,15 +89,8 @@ def mine(labelled: DataFrame, min_support: float, min_confidence: float, min_lif
     frequent = (
         labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= support * n)
     )
-    rows = labelled.withColumn("row", F.monotonically_increasing_id())
-    kept = (
-        rows.select("row", F.explode("tokens").alias("token")).join(frequent.select("token"), "token")
-        .groupBy("row").agg(F.collect_list("token").alias("items"))
-    )
-    bad_only = rows.select("row", "bad").join(kept, "row", "left").select(
-        F.concat(F.coalesce("items", F.array().cast("array<string>")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")
-    )
-    model = FPGrowth(itemsCol="items", minSupport=float(support), minConfidence=float(min_confidence)).fit(bad_only)
+    marked = F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens"))
+    model = FPGrowth(itemsCol="items", minSupport=float(support), minConfidence=float(min_confidence)).fit(labelled.select(marked.alias("items")))
     rules = model.associationRules.filter((F.col("consequent")[0] == BAD) & (F.col("lift") >= min_lift))
     rules = rules.select(
         F.array_sort("antecedent").alias("antecedent"), "confidence", "lift", "support",

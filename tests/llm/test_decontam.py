@@ -56,9 +56,16 @@ def data():
 def test_against_brute_force(spark):
     docs, items = data()
     df, bench = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id bigint, text string")
-    got = {(r["doc_id"], r["item_id"]): (round(r["similarity"], 9), r["first_word"]) for r in D.leaks(df, bench).collect()}
-    want = {k: (round(s, 9), o) for k, (s, o) in brute(docs, items).items()}
-    assert got == want
+    found = D.leaks(df, bench).collect()
+    want = {k: round(s, 9) for k, (s, _) in brute(docs, items).items()}
+    assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in found} == want
+    text, item = {d[0]: d[1] for d in docs}, dict(items)
+    for r in found:  # the window named has the similarity given
+        v = WORD.findall(item[r["item_id"]].lower())
+        w = WORD.findall(text[r["doc_id"]].lower())[r["first_word"] :][: len(v)]
+        a, b = shingles(v), shingles(w)
+        same = sum((a & b).values())
+        assert abs(same / (sum(a.values()) + sum(b.values()) - same) - r["similarity"]) < 1e-9
     bad = {k[0] for k in want}
     kept = D.without_leaks(df, bench)
     assert kept.columns == df.columns

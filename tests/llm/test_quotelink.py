@@ -112,7 +112,7 @@ def test_against_brute_force(spark, monkeypatch):
 
 
 def test_levels(spark):
-    df = spark.createDataFrame([("m", 1, 1, "a\n> b\n>> c\n> > d\n\t>e")], "mid string, conv_id bigint, turn bigint, pos0 int, text string")
+    df = spark.createDataFrame([("m", 1, 1, 0, "a\n> b\n>> c\n> > d\n\t>e")], "mid string, conv_id bigint, turn bigint, pos0 int, text string")
     got = Q.parse_lines(df).orderBy("pos").collect()
     assert [(r["level"], r["body"]) for r in got] == [(0, "a"), (1, "b"), (2, "c"), (2, "d"), (1, "e")]
 
