@@ -62,20 +62,24 @@ def tiered(prop: str) -> str:
 
 
 @cache
-def cut_others(prop: str) -> tuple[str, ...]:
-    """Patterns that delete, one after the other, every character without the property.
+def ascii_others(prop: str) -> str:
+    """The ASCII characters without the property, NUL aside."""
+    return "".join(chr(c) for a, b in _gaps(_own(prop, 0, 0x80), 0x80) for c in range(max(a, 1), b + 1))
 
-    ASCII goes in runs first.  The rest goes character by character: the JVM
-    recurses for a repeated alternative, and would run out of stack on long runs.
+
+@cache
+def cut_wide_others(prop: str) -> str:
+    """Pattern of one character beyond ASCII without the property.
+
+    Matched character by character: the JVM recurses for a repeated alternative,
+    and would run out of stack on long runs.
     """
-    ascii_own = _own(prop, 0, 0x80)
-    first = f"[{body(_gaps(ascii_own, 0x80))}]+"
     parts, low = [], 0x80
     for high in TIERS[1:]:
         own = _own(prop, low, high)
         parts.append(f"(?={_tier(low, high)})[^{body(own)}]" if own else _tier(low, high))
         low = high
-    return first, f"(?![\\x{{0}}-\\x{{7f}}])(?:{'|'.join(parts)})"
+    return f"(?=[^\\x{{0}}-\\x{{7f}}])(?:{'|'.join(parts)})"
 
 
 def _gaps(spans: list[tuple[int, int]], end: int) -> list[tuple[int, int]]:
@@ -92,6 +96,6 @@ def members(chars) -> str:
     return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(chars)) + "]"
 
 
+SPACES = "".join(chr(c) for a, b in ranges("isspace") for c in range(a, b + 1))
 SPACE = char_class("isspace")
 NOT_SPACE = char_class("isspace", negated=True)
-STRIP = f"^{SPACE}+|{SPACE}+$"
