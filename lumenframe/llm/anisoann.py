@@ -130,7 +130,7 @@ def search(
     vector_col: str = "embedding",
     every: int = 20,
     k: int = 20,
-    rerank: int = 200,
+    slack: float = 2.0,
     width: int = 2,
     weight: float = 4.0,
     sample: int = 20_000,
@@ -143,8 +143,9 @@ def search(
     the smaller id.  The codec is fitted on at most about ``sample`` rows drawn by
     a hash; every row is indexed.  About sqrt(n)/2 partitions; a query looks into
     the best ``probe`` of them, and on until it has seen ``least`` rows.  Vectors
-    without clusters need a large ``probe``; with clear ones a tenth will do.  Of
-    each tile an eighth of the rows, at most ``rerank``, is ranked exactly.
+    without clusters need a large ``probe``; with clear ones a tenth will do.  Of a
+    tile, all rows that come within ``slack`` standard errors of the codes of the
+    k-th best of the scan are ranked exactly.
 
     Nulls: rows with a null id, and vectors that are null, zero or hold null, NaN
     or infinite numbers, take no part; neither do vectors of another length than
@@ -219,11 +220,20 @@ def search(
             starts = np.r_[0, np.cumsum(np.bincount(back))]
             u, ucodes = x[first], codes[first]
             q, qids = _matrix(left.column("v").combine_chunks(), dim), left.column("id").to_numpy()
+            seen = c.words[np.arange(ucodes.shape[1]), ucodes].reshape(len(u), -1)[:, :dim]
+            blur = np.sqrt(((u - seen) ** 2).sum(axis=1).mean() / dim)
             for lo in range(0, len(q), 256):
-                rough = c.scan(q[lo : lo + 256], ucodes)
-                m = min(len(u), max(2 * k + 8, min(rerank, len(u) // 8)))
-                top = np.argpartition(-rough, m - 1, axis=1)[:, :m]
-                exact = np.einsum("qmd,qd->qm", u[top], q[lo : lo + 256])
+                part = q[lo : lo + 256]
+                rough = c.scan(part, ucodes)
+                # all that the codes can't tell from the k-th best: few in a spread tile, all in a dense one
+                least = min(k, len(u))
+                edge = np.partition(rough, len(u) - least, axis=1)[:, len(u) - least] - slack * blur * np.linalg.norm(part, axis=1)
+                m = min(len(u), max(2 * k + 8, int((rough >= edge[:, None]).sum(axis=1).max())))
+                if 2 * m >= len(u):
+                    top, exact = np.broadcast_to(np.arange(len(u)), rough.shape), part @ u.T
+                else:
+                    top = np.argpartition(-rough, m - 1, axis=1)[:, :m]
+                    exact = np.einsum("qmd,qd->qm", u[top], part)
                 for row, (cand, sc) in enumerate(zip(top, exact, strict=True)):
                     me = qids[lo + row]
                     best = np.argsort(-sc, kind="stable")[: k + 1]
