@@ -132,12 +132,11 @@ def reply_order(nodes: DataFrame) -> DataFrame:
     now = saved(down.unionByName(up), "tour")
     while now.filter("to is not null").limit(1).count():
         ahead = now.select(F.col("e").alias("to"), F.col("to").alias("to2"), F.col("downs").alias("d2"), F.col("ups").alias("u2"))
-        now = saved(
-            now.join(ahead, "to", "left").select(
-                "e", F.col("to2").alias("to"), (F.col("downs") + F.coalesce("d2", F.lit(0))).alias("downs"), (F.col("ups") + F.coalesce("u2", F.lit(0))).alias("ups")
-            ),
-            "tour",
+        # events that have reached the end of their tour take no further part
+        moved = now.filter("to is not null").join(ahead, "to").select(
+            "e", F.col("to2").alias("to"), (F.col("downs") + F.col("d2")).alias("downs"), (F.col("ups") + F.col("u2")).alias("ups")
         )
+        now = saved(now.filter("to is null").unionByName(moved), "tour")
     ranked = now.filter(F.col("e").endswith("d")).select(F.expr("substring(e, 1, 32)").alias("mid"), "downs", (F.col("ups") - F.col("downs")).cast("int").alias("depth"))
     total = nodes.groupBy("conv_id").agg(F.count("*").alias("n"))
     return nodes.select("mid", "conv_id").join(total, "conv_id").join(ranked, "mid").select("mid", (F.col("n") - F.col("downs") + 1).alias("position"), "depth")
