@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import saved
+from .store import release, saved
 from .text import arrow_words, split_batch
 
 BLOCK_TOKENS = 1 << 20
@@ -286,6 +286,7 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", f
     total = made.agg(F.sum("n")).first()[0] or 0
     bits = max(4, int(np.ceil(np.log2(max(total / RANGE_TOKENS, 1)))) + 1)
     answered = saved(replies(requests(made, bits, held_fold)), "replies")
+    release(docs.sparkSession)  # the requests are the largest shuffle, and are answered
     # The end of text is a token of every block, so its range is asked for by all; N is a sum over blocks.
     v_a, v_t = (x or 0 for x in answered.agg(F.sum("va"), F.sum("vt")).first())
 

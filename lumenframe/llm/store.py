@@ -35,6 +35,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps that are done.
+
+    Its cleaner follows the driver's garbage collection, which a driver with
+    little to do may put off for long; the files would meanwhile fill the disks.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def forget(spark: SparkSession) -> int:
     """Delete every table that ``saved`` has written; call it when the results are out."""
     jvm = spark.sparkContext._jvm
