@@ -119,14 +119,14 @@ def leaks(
             found = F.concat(found, F.coalesce(short, F.array().cast("array<struct<p:int,h:bigint>>")))
         return found
 
-    seen = base.select("__lf_k1", "__lf_k2", "__lf_id", F.explode(let(w, all_hashes)).alias("__lf_x")).select(
-        "__lf_k1", "__lf_k2", "__lf_id", F.col("__lf_x.p").alias("__lf_p"), F.col("__lf_x.h").alias("__lf_h")
+    seen = base.select("__lf_k1", "__lf_k2", F.explode(let(w, all_hashes)).alias("__lf_x")).select(
+        "__lf_k1", "__lf_k2", F.col("__lf_x.p").alias("__lf_p"), F.col("__lf_x.h").alias("__lf_h")
     )
     fits = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     met = seen.join(F.broadcast(index) if fits else index, "__lf_h")
     # A window at o holds an item's shingle j at o + j if it holds it in place.  The best
     # window of an item starts on or between such diagonals.
-    pair = ["__lf_k1", "__lf_k2", "__lf_id", "__lf_item"]
+    pair = ["__lf_k1", "__lf_k2", "__lf_item"]
     diagonals = met.groupBy(*pair, "__lf_n", "__lf_need", (F.col("__lf_p") - F.col("__lf_j")).alias("__lf_o")).agg(F.count("*").alias("__lf_c"))
     found = diagonals.groupBy(*pair, "__lf_n", "__lf_need").agg(
         F.sum("__lf_c").alias("__lf_c"), F.array_sort(F.collect_set("__lf_o")).alias("__lf_os")
@@ -137,8 +137,8 @@ def leaks(
         )))
     starts = found.select(*pair, "__lf_n", "__lf_need", F.explode(let(F.col("__lf_os"), between)).alias("__lf_o"))
     # Windows are item-sized: one fingerprint for all items of a size.
-    wanted = starts.groupBy("__lf_k1", "__lf_k2", "__lf_id").agg(F.collect_set(F.struct(F.col("__lf_n").alias("n"), F.col("__lf_o").alias("o"))).alias("__lf_at"))
-    texts = base.select("__lf_k1", "__lf_k2", "__lf_text").join(wanted, ["__lf_k1", "__lf_k2"])
+    wanted = starts.groupBy("__lf_k1", "__lf_k2").agg(F.collect_set(F.struct(F.col("__lf_n").alias("n"), F.col("__lf_o").alias("o"))).alias("__lf_at"))
+    texts = base.join(wanted, ["__lf_k1", "__lf_k2"])
     def cut(a):
         # windows past either end move to the end; a text shorter than the item is one window
         def at(x):
