@@ -30,6 +30,7 @@ from .text import arrow_words, split_batch
 FAN = 16
 TILE = 32_768
 PIECE = 1 << 17
+CHUNK = 512
 
 
 def batch_fingerprints(texts: pa.Array, k: int, seed: int = 42) -> np.ndarray:
@@ -313,6 +314,131 @@ def shingle_jaccard(a: str, b: str, k: int) -> float:
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
+def batch_shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """uint64 hashes of the k-word shingles of whole texts, in order, and their number in each text.
+
+    A text of fewer words is one shingle.
+    """
+    flat, counts = arrow_words(texts)
+    coded = flat.dictionary_encode()
+    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    h = np.r_[h[coded.indices.to_numpy()], np.zeros(k, np.uint64)]
+    m = np.maximum(counts - k + 1, 1)
+    owner = np.repeat(np.arange(len(counts)), m)
+    at = np.arange(len(owner)) + np.repeat(np.cumsum(counts) - counts - np.cumsum(m) + m, m)
+    short = counts < k
+    out = np.zeros(len(owner), np.uint64)
+    for j in range(k):
+        word = h[at + j]
+        if short.any():
+            word = np.where(j < counts[owner], word, np.uint64(0))
+        out = (out ^ word) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out, m
+
+
+def joined(sets: list[np.ndarray], label: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links (places) between similar sets that join all that any similar pair joins; equal labels are joined already."""
+    size = np.array([len(x) for x in sets])
+    if len(np.unique(label)) < 2:
+        return []
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    posting = owner[order]
+    number = np.bincount(code)
+    start = np.cumsum(number) - number
+    first = np.cumsum(size) - size
+    waits = np.ones(len(sets), bool)
+    out: list[tuple[int, int]] = []
+    for seed in range(len(sets)):
+        if not waits[seed]:
+            continue
+        ready = np.flatnonzero(waits & (label == label[seed])).tolist()
+        waits[ready] = False
+        while ready and waits.any():
+            x = ready.pop()
+            mine = code[first[x] : first[x] + size[x]]
+            n = number[mine]
+            places = np.arange(n.sum()) + np.repeat(start[mine] - np.cumsum(n) + n, n)
+            same = np.bincount(posting[places], minlength=len(sets))
+            for y in np.flatnonzero(waits & (same >= similarity * (size[x] + size - same))).tolist():
+                if waits[y]:
+                    out.append((x, y))
+                    more = np.flatnonzero(waits & (label == label[y]))
+                    waits[more] = False
+                    ready += more.tolist()
+    return out
+
+
+def _verified(tiled: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(a, b): links between similar texts in each tile (``root``, ``i``, ``j``) of (``node``, ``label``, ``text``)."""
+    key = ["root", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, node, label, sets = None, [], [], []
+
+        def solve() -> Iterator[pa.RecordBatch]:
+            found = joined(sets, np.array(label), similarity) if len(node) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([node[e[side]] for e in found], pa.int64()) for side in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for part in split_batch(batch, "text"):
+                h, m = batch_shingles(part.column("text"), k)
+                ends = np.cumsum(m)
+                rows = zip(*[part.column(c).to_pylist() for c in (*key, "node", "label")], (ends - m).tolist(), ends.tolist(), strict=True)
+                for *tile, n, v, lo, hi in rows:
+                    if tile != now:
+                        yield from solve()
+                        now, node, label, sets = tile, [], [], []
+                    node.append(n)
+                    label.append(v)
+                    sets.append(np.unique(h[lo:hi]))
+        yield from solve()
+
+    return tiled.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
+
+
+def similar(named: DataFrame, pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(a, b): links that join all nodes that similar pairs of one candidate component join.
+
+    ``named`` has each node's candidate component (``root``), ``pairs`` the
+    candidate links and ``texts`` the nodes' texts.  A component of up to
+    ``CHUNK`` texts is one tile.  In a larger one, one link a node is verified
+    first.  What that joins needs no further look; if some of the component stays
+    apart from its largest part, chunks of the rest meet each other and those of
+    the largest part in tiles.
+    """
+    sizes = named.groupBy("root").agg(F.count("*").alias("n"))
+    sized = saved(named.join(sizes, "root"), "sized")
+    large = sized.filter(F.col("n") > CHUNK).select("node", "root")
+    ahead = pairs.groupBy("a").agg(F.min("b").alias("b")).join(large.select(F.col("node").alias("a")), "a", "left_semi")
+    both = ahead.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
+        texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"
+    )
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [shingle_jaccard(x, y, k) >= similarity for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    sure = saved(both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"), "sure")
+    parts = components(sure).withColumnRenamed("root", "label")
+    labelled = saved(large.join(parts, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    counts = labelled.groupBy("root", "label").agg(F.count("*").alias("n"))
+    main = counts.groupBy("root").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
+    main = main.select("root", F.col("m.label").alias("main"), F.ceil(F.col("m.n") / CHUNK).cast("int").alias("p"), F.ceil((F.col("all") - F.col("m.n")) / CHUNK).cast("int").alias("q"))
+    split = labelled.join(main, "root").withColumn("own", F.col("label") == F.col("main"))
+    at = F.when(F.col("own"), F.col("q") + F.pmod(F.xxhash64("node"), "p")).otherwise(F.pmod(F.xxhash64("node"), "q")).cast("int")
+    meets = F.sequence(F.lit(0), F.when(F.col("own"), F.col("q") - 1).otherwise(F.col("p") + F.col("q") - 1))
+    split = split.withColumn("at", at).withColumn("with", F.explode(meets))
+    split = split.select("root", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "node", "label")
+    whole = sized.filter(F.col("n") <= CHUNK).select("root", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", F.col("node").alias("label"))
+    tiled = whole.unionByName(split).join(texts, "node").select("root", "i", "j", "node", "label", "text")
+    return sure.union(_verified(tiled, k, similarity))
+
+
 def representatives(
     docs: DataFrame,
     *,
@@ -328,8 +454,8 @@ def representatives(
     Rows with the same words are copies.  Different texts are near-duplicates if
     their k-word shingles have at least this Jaccard similarity; the SimHash of
     their distinct words, within ``radius`` bits, names the pairs to verify.
-    Candidates come as minimum spanning forests, nearest first, so a group of
-    many near copies makes about as many pairs as it has texts.
+    Candidates come as minimum spanning forests, nearest first; all pairs of texts
+    that these join, over however many links, are compared (see ``similar``).
 
     Nulls: a null text is an empty one, and all empty texts are copies; null ids
     lose to others.  Of repeated rows one stays.  Very long texts are read whole.
@@ -347,8 +473,10 @@ def representatives(
     items = saved(marks.groupBy("node").agg(F.min("fp").alias("fp"), F.min("key").alias("low")), "items")
     pairs = saved(links(items.select("node", "fp"), radius, agree=agree, by_distance=True).distinct(), "pairs")
 
-    # Texts of the pairs' nodes: one copy each, found by its id and key.
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(items, "node").select("node", "low")
+    named = saved(components(pairs), "named")
+
+    # Texts of the candidates: one copy each, found by its id and key.
+    ends = named.join(items, "node").select("node", "low")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -360,15 +488,7 @@ def representatives(
     texts = same_id.mapInArrow(keyed, f"key {id_type}, node long, text string").join(ends, "node", "left_semi").dropDuplicates(["node"]).select("node", "text")
     texts = saved(texts, "texts")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = [shingle_jaccard(x, y, k) >= similarity for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
-        texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"
-    )
-    found = components(both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"))
+    found = components(similar(named, pairs, texts, k, similarity))
     rooted = items.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # null ids lose; of equal least ids the least key wins
     winner = rooted.groupBy("root").agg(F.min(F.struct(F.col("low").isNull(), "low", "node")).alias("w")).select("w.node", "w.low")

@@ -132,3 +132,51 @@ def test_representatives(spark):
     far = [(1, " ".join(base[0][:100] + base[1][:100]), "c", 1, 2), (2, " ".join(base[0]), "c", 1, 2)]
     assert G.representatives(spark.createDataFrame(far, SCHEMA)).count() == 2
     assert G.representatives(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def sets_of(rows, k=5):
+    out = []
+    for t in rows:
+        w = WORD.findall(t.lower())
+        out.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))})
+    return out
+
+
+def kept_by_brute_force(rows):
+    """Least id of each component of the pairs at a Jaccard similarity of 0.8 or more; ids are places."""
+    s = sets_of(rows)
+    pairs = [(i, j) for i in range(len(s)) for j in range(i) if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j])]
+    return sorted(set(union(len(s), pairs)))
+
+
+def family(rng, n, most, length=250):
+    base = [f"w{rng.randrange(5000)}" for _ in range(length)]
+    out = []
+    for _ in range(n):
+        v = list(base)
+        for at in rng.sample(range(length), rng.randint(2, most)):
+            v[at] = f"e{rng.randrange(10**6)}"
+        out.append(" ".join(v))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [512, 20])  # a component in one tile, and in many
+def test_pairs_behind_a_refused_candidate(spark, chunk, monkeypatch):
+    monkeypatch.setattr(G, "CHUNK", chunk)
+    rows = family(random.Random(3), 200, 6)
+    docs = spark.createDataFrame([(i, t, "c", 1, 2) for i, t in enumerate(rows)], SCHEMA)
+    assert sorted(r["doc_id"] for r in G.representatives(docs).collect()) == kept_by_brute_force(rows)
+
+
+def test_joined_sets():
+    rng = random.Random(5)
+    rows = family(rng, 60, 8) + family(rng, 40, 4) + ["", "a b", "a b"]
+    h, m = G.batch_shingles(pa.array(rows), 5)
+    sets = [np.unique(x) for x in np.split(h, np.cumsum(m)[:-1])]
+    assert [len(x) for x in sets] == [len(x) for x in sets_of(rows)]
+    assert sorted(set(union(len(rows), G.joined(sets, np.arange(len(rows)), 0.8)))) == kept_by_brute_force(rows)
+    label = np.arange(len(rows)) // 2
+    s = sets_of(rows)
+    known = [(2 * i, 2 * i + 1) for i in range(len(rows) // 2)]
+    near = [(i, j) for i in range(len(s)) for j in range(i) if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j])]
+    assert union(len(rows), G.joined(sets, label, 0.8) + known) == union(len(rows), near + known)
