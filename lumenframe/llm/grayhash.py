@@ -137,13 +137,12 @@ class GrayIndex:
                 stack.append((level - 1, i[keep], j[keep]))
 
 
-    def forest(self, radius: int, by_distance: bool) -> tuple[np.ndarray, np.ndarray]:
+    def forest(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Links (places) that join all that is joined within the radius."""
         root = np.arange(len(self.fp))
         kept: list[tuple[np.ndarray, np.ndarray]] = []
-        for r in range(radius + 1) if by_distance else (radius,):
-            for a, b in self.pairs(r):
-                _unite(root, a, b, kept)
+        for a, b in self.pairs(radius):
+            _unite(root, a, b, kept)
         if not kept:
             return root[:0], root[:0]
         return np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
@@ -178,11 +177,10 @@ def _tables(radius: int, agree: int) -> list[tuple[int, list[tuple[int, int]]]]:
     return [((64 - c[-1][1]) % 64, list(c)) for c in combinations(cuts, agree)]
 
 
-def links(items: DataFrame, radius: int, *, agree: int = 1, by_distance: bool = False) -> DataFrame:
+def links(items: DataFrame, radius: int, *, agree: int = 1) -> DataFrame:
     """(a, b): links between the nodes of ``items`` (``node`` and ``fp``, longs, one row a node).
 
-    Of each tile come as many links as join all that it joins, never all pairs;
-    ``by_distance`` chooses them nearest first (a minimum spanning forest).  A
+    Of each tile come as many links as join all that it joins, never all pairs.  A
     group of over ``TILE`` fingerprints is cut into chunks, and each two of its
     chunks meet in a tile of their own, so no task holds more than two chunks and
     a batch.
@@ -219,7 +217,7 @@ def links(items: DataFrame, radius: int, *, agree: int = 1, by_distance: bool =
             for block in np.unique(b):
                 own = b == block
                 index = GrayIndex(group[own], fp[own], turns[block])
-                x, y = index.forest(radius, by_distance)
+                x, y = index.forest(radius)
                 if len(x):
                     at = node[own][index.order]
                     yield pa.RecordBatch.from_arrays([pa.array(at[x]), pa.array(at[y])], ["a", "b"])
@@ -277,31 +275,19 @@ def groups(
     )
 
 
-def batch_word_prints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Of each whole text: a hash of its word sequence, and the SimHash of its distinct words."""
+def batch_keys(texts: pa.Array) -> np.ndarray:
+    """A hash of the word sequence of each whole text."""
     flat, counts = arrow_words(texts)
-    n = len(counts)
-    keys = np.full(n, xxhash.xxh64_intdigest(b"", 42), np.uint64)
+    keys = np.full(len(counts), xxhash.xxh64_intdigest(b"", 42), np.uint64)
     if not len(flat):
-        return keys, np.zeros(n, np.uint64)
+        return keys
     spaced = pc.binary_join_element_wise(flat, pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
     size = pc.binary_length(flat).to_numpy(zero_copy_only=False).astype(np.int64) + 1
     buffer, ends = memoryview(spaced.buffers()[2]), np.r_[0, np.cumsum(size)]
     cut = np.cumsum(counts)
     for i in np.flatnonzero(counts):
         keys[i] = xxhash.xxh64_intdigest(buffer[ends[cut[i] - counts[i]] : ends[cut[i]] - 1], 42)
-    coded = flat.dictionary_encode()
-    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    seen = np.unique(np.repeat(np.arange(n), counts) * len(h) + coded.indices.to_numpy())
-    doc, word = seen // len(h), seen % len(h)
-    ones = np.zeros((n, 64), np.int64)
-    for lo in range(0, len(doc), PIECE):
-        who = doc[lo : lo + PIECE]
-        bits = np.unpackbits(h[word[lo : lo + PIECE]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        starts = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-        ones[who[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    packed = np.packbits(ones * 2 > np.bincount(doc, minlength=n)[:, None], axis=1, bitorder="little")
-    return keys, packed.view(np.uint64).ravel()
+    return keys
 
 
 def shingle_jaccard(a: str, b: str, k: int) -> float:
@@ -337,6 +323,28 @@ def batch_shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out, m
 
 
+def batch_bands(texts: pa.Array, k: int, bands: int, rows: int, seed: int = 42) -> np.ndarray:
+    """Of each whole text ``bands`` uint64 keys, each of ``rows`` MinHashes of its k-word shingles."""
+    h, m = batch_shingles(texts, k)
+    mixers = np.random.default_rng(seed).integers(0, 1 << 64, (bands * rows, 2), np.uint64, endpoint=False)
+    owner = np.repeat(np.arange(len(m)), m)
+    out = np.zeros((len(m), bands), np.uint64)
+    least = np.full((len(m), bands * rows), np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(h), PIECE):
+        part, who = h[lo : lo + PIECE], owner[lo : lo + PIECE]
+        starts = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+        at = who[starts]
+        for p, (flip, factor) in enumerate(mixers):
+            least[at, p] = np.minimum(least[at, p], np.minimum.reduceat((part ^ flip) * (factor | np.uint64(1)), starts))
+    for band in range(bands):
+        key = np.full(len(m), band + 1, np.uint64)
+        for r in range(rows):
+            key = (key ^ least[:, band * rows + r]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(32)
+        out[:, band] = key
+    return out
+
+
 def joined(sets: list[np.ndarray], label: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Links (places) between similar sets that join all that any similar pair joins; equal labels are joined already."""
     size = np.array([len(x) for x in sets])
@@ -444,34 +452,41 @@ def representatives(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    radius: int = 6,
-    agree: int = 2,
     k: int = 5,
     similarity: float = 0.8,
+    bands: int = 32,
+    rows: int = 6,
 ) -> DataFrame:
     """One row of each group of near-duplicates, the one with the least id; columns as they are.
 
     Rows with the same words are copies.  Different texts are near-duplicates if
-    their k-word shingles have at least this Jaccard similarity; the SimHash of
-    their distinct words, within ``radius`` bits, names the pairs to verify.
-    Candidates come as minimum spanning forests, nearest first; all pairs of texts
-    that these join, over however many links, are compared (see ``similar``).
+    their k-word shingles have at least this Jaccard similarity.  Texts that agree
+    in all ``rows`` MinHashes of one of ``bands`` bands are candidates, which at
+    similarity s happens in 1 - (1 - s**rows)**bands of cases: all but one in ten
+    thousand at 0.8, whatever the edits.  All pairs of texts that candidates join,
+    over however many links, are compared (see ``similar``).
 
     Nulls: a null text is an empty one, and all empty texts are copies; null ids
     lose to others.  Of repeated rows one stays.  Very long texts are read whole.
     """
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in split_batch(batch, "text"):
-                keys, fp = batch_word_prints(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(keys.view(np.int64)), pa.array(fp.view(np.int64))], ["key", "node", "fp"])
+                keys = batch_keys(part.column("text")).view(np.int64)
+                found = batch_bands(part.column("text"), k, bands, rows).view(np.int64)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), bands).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(keys), lists], ["key", "node", "bands"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    marks = saved(slim.mapInArrow(prints, f"key {id_type}, node long, fp long"), "prints")
-    items = saved(marks.groupBy("node").agg(F.min("fp").alias("fp"), F.min("key").alias("low")), "items")
-    pairs = saved(links(items.select("node", "fp"), radius, agree=agree, by_distance=True).distinct(), "pairs")
+    marks = saved(slim.mapInArrow(banded, f"key {id_type}, node long, bands array<long>"), "prints")
+    items = saved(marks.groupBy("node").agg(F.min("key").alias("low"), F.first("bands").alias("bands")), "items")
+    # Equal texts have equal keys and are one node.  A band key that several nodes have links them to the least.
+    keyed_bands = items.select("node", F.explode("bands").alias("band"))
+    buckets = keyed_bands.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("top")).filter("b != top")
+    pairs = keyed_bands.join(buckets.select("band", "b"), "band").filter("node != b").select(F.col("node").alias("a"), "b").distinct()
+    pairs = saved(pairs, "pairs")
 
     named = saved(components(pairs), "named")
 
@@ -481,7 +496,7 @@ def representatives(
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in split_batch(batch, "text"):
-                keys, _ = batch_word_prints(part.column("text"))
+                keys = batch_keys(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(keys.view(np.int64)), part.column("text")], ["key", "node", "text"])
 
     same_id = slim.join(ends.select(F.col("low").alias("key")).distinct(), "key", "left_semi")
@@ -492,19 +507,19 @@ def representatives(
     rooted = items.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # null ids lose; of equal least ids the least key wins
     winner = rooted.groupBy("root").agg(F.min(F.struct(F.col("low").isNull(), "low", "node")).alias("w")).select("w.node", "w.low")
-    rows = marks.join(winner, (marks["node"] == winner["node"]) & marks["key"].eqNullSafe(winner["low"])).groupBy(marks["node"], marks["key"]).agg(F.count("*").alias("n"))
-    rows = saved(rows, "winners")
+    won = marks.join(winner, (marks["node"] == winner["node"]) & marks["key"].eqNullSafe(winner["low"])).groupBy(marks["node"], marks["key"]).agg(F.count("*").alias("n"))
+    won = saved(won, "winners")
 
     names = docs.columns
 
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in split_batch(batch, text_col):
-                keys, _ = batch_word_prints(part.column(text_col))
+                keys = batch_keys(part.column(text_col))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys.view(np.int64))], [*names, "__lf_node"])
 
     full = docs.mapInArrow(tagged, T.StructType([*docs.schema.fields, T.StructField("__lf_node", T.LongType())]))
     on = (F.col("__lf_node") == F.col("w.node")) & F.col(id_col).eqNullSafe(F.col("w.key"))
-    once = full.join(rows.filter("n = 1").alias("w"), on, "left_semi").drop("__lf_node")
-    more = full.join(rows.filter("n > 1").alias("w"), on, "left_semi").dropDuplicates(["__lf_node"]).drop("__lf_node")
+    once = full.join(won.filter("n = 1").alias("w"), on, "left_semi").drop("__lf_node")
+    more = full.join(won.filter("n > 1").alias("w"), on, "left_semi").dropDuplicates(["__lf_node"]).drop("__lf_node")
     return once.unionByName(more)

@@ -180,3 +180,25 @@ def test_joined_sets():
     known = [(2 * i, 2 * i + 1) for i in range(len(rows) // 2)]
     near = [(i, j) for i in range(len(s)) for j in range(i) if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j])]
     assert union(len(rows), G.joined(sets, label, 0.8) + known) == union(len(rows), near + known)
+
+
+def test_candidates_of_cut_and_grown_texts(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(40):
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(100, 600))]
+        n = len(w)
+        rows += [w, w[: -(n // 6)] if i % 2 else w + [f"e{rng.randrange(10**6)}" for _ in range(n // 6)]]
+    for _ in range(20):  # the last word of a short text
+        w = [f"w{rng.randrange(5000)}" for _ in range(30)]
+        rows += [w, [*w[:-1], "last"]]
+    rows = [" ".join(w) for w in rows]
+    assert kept_by_brute_force(rows) == list(range(0, len(rows), 2))
+    docs = spark.createDataFrame([(i, t, "c", 1, 2) for i, t in enumerate(rows)], SCHEMA)
+    assert sorted(r["doc_id"] for r in G.representatives(docs).collect()) == kept_by_brute_force(rows)
+
+
+def test_bands_of_slices():
+    t = pa.array(texts(60, 4) + [None, "a b c " * 60_000])
+    whole = G.batch_bands(t, 5, 4, 3)
+    assert (G.batch_bands(t.slice(20, 42), 5, 4, 3) == whole[20:]).all()
