@@ -101,41 +101,46 @@ def leaks(
         .select("__lf_item", F.size("__lf_w").alias("__lf_n"), shingles(F.col("__lf_w"), k).alias("__lf_s"))
         .filter("__lf_n > 0")
     )
-    m = F.size("__lf_s")
-    # similarity s of two multisets of m each needs 2sm/(1+s) in common
-    items = items.withColumn("__lf_need", F.ceil(F.lit(2 * similarity / (1 + similarity)) * m - 1e-9).cast("int"))
     items = items.withColumn("__lf_ifp", simhash(F.col("__lf_s")))
-    index = items.select("__lf_item", "__lf_n", "__lf_need", F.posexplode("__lf_s").alias("__lf_j", "__lf_h"))
+    index = items.select("__lf_item", "__lf_n", F.posexplode("__lf_s").alias("__lf_j", "__lf_h"))
 
     base = docs.select(*row_key(F.col(id_col), text), F.col(id_col).alias("__lf_id"), text.alias("__lf_text"))
     lengths = [r[0] for r in items.filter(F.col("__lf_n") < k).select("__lf_n").distinct().collect()]
     w = words(ascii_lower(F.col("__lf_text")))
 
     def all_hashes(a):
-        found = F.when(F.size(a) >= k, F.transform(shingles(a, k), lambda h, i: F.struct(i.alias("p"), h.alias("h"))))
-        found = F.coalesce(found, F.array().cast("array<struct<p:int,h:bigint>>"))
+        kind = "array<struct<p:int,h:bigint,w:int>>"
+        def hashed(p, h):
+            return F.struct(p.alias("p"), h.alias("h"), F.size(a).alias("w"))
+        found = F.when(F.size(a) >= k, F.transform(shingles(a, k), lambda h, i: hashed(i, h)))
+        found = F.coalesce(found, F.array().cast(kind))
         for n in lengths:  # items shorter than a shingle: their windows are whole sequences
-            short = F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(0), F.size(a) - n), lambda i: F.struct(i.alias("p"), F.xxhash64(F.slice(a, i + 1, n)).alias("h"))))
-            found = F.concat(found, F.coalesce(short, F.array().cast("array<struct<p:int,h:bigint>>")))
+            short = F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(0), F.size(a) - n), lambda i: hashed(i, F.xxhash64(F.slice(a, i + 1, n)))))
+            found = F.concat(found, F.coalesce(short, F.array().cast(kind)))
         return found
 
     seen = base.select("__lf_k1", "__lf_k2", F.explode(let(w, all_hashes)).alias("__lf_x")).select(
-        "__lf_k1", "__lf_k2", F.col("__lf_x.p").alias("__lf_p"), F.col("__lf_x.h").alias("__lf_h")
+        "__lf_k1", "__lf_k2", F.col("__lf_x.p").alias("__lf_p"), F.col("__lf_x.h").alias("__lf_h"), F.col("__lf_x.w").alias("__lf_words")
     )
     fits = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     met = seen.join(F.broadcast(index) if fits else index, "__lf_h")
     # A window at o holds an item's shingle j at o + j if it holds it in place.  The best
     # window of an item starts on or between such diagonals.
     pair = ["__lf_k1", "__lf_k2", "__lf_item"]
-    diagonals = met.groupBy(*pair, "__lf_n", "__lf_need", (F.col("__lf_p") - F.col("__lf_j")).alias("__lf_o")).agg(F.count("*").alias("__lf_c"))
-    found = diagonals.groupBy(*pair, "__lf_n", "__lf_need").agg(
+    diagonals = met.groupBy(*pair, "__lf_n", "__lf_words", (F.col("__lf_p") - F.col("__lf_j")).alias("__lf_o")).agg(F.count("*").alias("__lf_c"))
+    # similarity s of multisets of m and m' needs s(m+m')/(1+s) in common; a text shorter than the item is a smaller window
+    def held(n):
+        return F.greatest(n - k + 1, F.lit(1))
+    both = held(F.col("__lf_n")) + held(F.least("__lf_n", "__lf_words"))
+    need = F.ceil(F.lit(similarity / (1 + similarity)) * both - 1e-9)
+    found = diagonals.groupBy(*pair, "__lf_n", "__lf_words").agg(
         F.sum("__lf_c").alias("__lf_c"), F.array_sort(F.collect_set("__lf_o")).alias("__lf_os")
-    ).filter(F.col("__lf_c") >= F.col("__lf_need"))
+    ).filter(F.col("__lf_c") >= need)
     def between(a):
         return F.flatten(F.transform(a, lambda o, i: F.sequence(
             o, F.when(F.coalesce(F.get(a, i + 1) - o, F.col("__lf_n")) < F.col("__lf_n"), F.get(a, i + 1) - 1).otherwise(o)
         )))
-    starts = found.select(*pair, "__lf_n", "__lf_need", F.explode(let(F.col("__lf_os"), between)).alias("__lf_o"))
+    starts = found.select(*pair, "__lf_n", F.explode(let(F.col("__lf_os"), between)).alias("__lf_o"))
     # Windows are item-sized: one fingerprint for all items of a size.
     wanted = starts.groupBy("__lf_k1", "__lf_k2").agg(F.collect_set(F.struct(F.col("__lf_n").alias("n"), F.col("__lf_o").alias("o"))).alias("__lf_at"))
     texts = base.join(wanted, ["__lf_k1", "__lf_k2"])

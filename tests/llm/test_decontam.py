@@ -91,3 +91,20 @@ def test_empty(spark):
     assert D.leaks(none, spark.createDataFrame([(1, "a b")], "item_id bigint, text string")).count() == 0
     assert D.leaks(docs, bench).count() == 0
     assert D.without_leaks(docs, bench).count() == 1
+
+
+def test_document_shorter_than_the_item(spark):
+    rng = random.Random(7)
+    items, docs = [], []
+    for j, n in enumerate([9, 10, 14, 24, 44, 64, 104]):
+        v = [f"i{j}w{i}" for i in range(n)]
+        items.append((j, " ".join(v)))
+        for cut in range(n // 3):
+            at = rng.choice([0, cut])  # cut at either end
+            docs.append((len(docs), " ".join(v[at : at + n - cut]), "c", 1))
+    docs += [(900, "i0w0 i0w1 i0w2", "c", 1), (901, "i0w0", "c", 1)]
+    df, bench = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id bigint, text string")
+    want = {k: round(s, 9) for k, (s, _) in brute(docs, items).items()}
+    assert any(s < 8 / 9 for s in want.values())
+    assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in D.leaks(df, bench).collect()} == want
+    assert D.without_leaks(df, bench).count() == len(docs) - len({k[0] for k in want})
