@@ -499,7 +499,8 @@ def representatives(
                 keys = batch_keys(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(keys.view(np.int64)), part.column("text")], ["key", "node", "text"])
 
-    same_id = slim.join(ends.select(F.col("low").alias("key")).distinct(), "key", "left_semi")
+    ids = ends.select("low").distinct()
+    same_id = slim.join(ids, slim["key"].eqNullSafe(ids["low"]), "left_semi")
     texts = same_id.mapInArrow(keyed, f"key {id_type}, node long, text string").join(ends, "node", "left_semi").dropDuplicates(["node"]).select("node", "text")
     texts = saved(texts, "texts")
 

@@ -202,3 +202,13 @@ def test_bands_of_slices():
     t = pa.array(texts(60, 4) + [None, "a b c " * 60_000])
     whole = G.batch_bands(t, 5, 4, 3)
     assert (G.batch_bands(t.slice(20, 42), 5, 4, 3) == whole[20:]).all()
+
+
+def test_near_copies_without_an_id(spark):
+    rng = random.Random(12)
+    w = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    copies = [" ".join([*w[:at], "changed", *w[at + 1 :]]) for at in (50, 100, 150)]
+    rows = [(None, t, "c", 1, 2) for t in copies]
+    assert G.representatives(spark.createDataFrame(rows, SCHEMA)).count() == 1
+    rows.append((5, " ".join(w), "c", 1, 2))
+    assert [r["doc_id"] for r in G.representatives(spark.createDataFrame(rows, SCHEMA)).collect()] == [5]
