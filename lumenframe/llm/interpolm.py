@@ -7,11 +7,13 @@ are learnt by expectation-maximisation on held-out counts: one fold of the
 training documents is deleted from the counts and predicted from the rest.
 Scores then use the counts of all training documents.
 
-Counting is a join on packed arrays.  Texts become blocks of about a million
+Counting is a join on packed arrays.  Texts become blocks of about two million
 tokens.  A block asks for each of its distinct words and bigrams once; requests
 go to ranges of the hash space, are summed there, and the totals go back to the
 block.  So a very frequent word is one entry a block, the volume follows the
-input, and no table of n-grams is ever sent to the driver or broadcast.
+input, and no table of n-grams is ever sent to the driver or broadcast.  Blocks
+and totals meet twice, once for the held-out histogram and once for the scores:
+that costs processor time, but no joined copy of the tokens is ever stored.
 """
 
 from __future__ import annotations
@@ -25,13 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import release, saved
+from .store import saved
 from .text import arrow_words, split_batch
 
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 21
 RANGE_TOKENS = 1 << 21
 FREQUENCY_BUCKETS = 40
-STEPS = 8  # bins of the held-out histogram for each doubling of a probability
+STEPS = 16  # bins of the held-out histogram for each doubling of a probability
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 BASE_ADD = 0.1
 
@@ -62,12 +64,12 @@ def unpack_keys(b: bytes) -> np.ndarray:
 
 
 def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """48-bit keys of pairs of word hashes, in the high bits."""
+    """56-bit keys of pairs of word hashes, in the high bits."""
     with np.errstate(over="ignore"):
         x = v * np.uint64(0x9E3779B97F4A7C15) ^ (w + np.uint64(0x7F4A7C159E3779B9))
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(32))) & np.uint64(0xFFFFFFFFFFFF0000)
+    return (x ^ (x >> np.uint64(32))) & np.uint64(0xFFFFFFFFFFFFFF00)
 
 
 class Block:
@@ -140,31 +142,30 @@ def _counted(place: np.ndarray, n: int, chosen: np.ndarray) -> np.ndarray:
 def requests(made: DataFrame, bits: int, held_fold: int) -> DataFrame:
     """Of each block, kind (1 words, 2 bigrams) and hash range: keys and their counts in the block.
 
-    ``a``: in training documents outside the held-out fold; ``t``: in all of them.
+    ``t``: in training documents; ``h``: in those of the held-out fold among them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.select(["block", "folds", "counts", "tokens", "words"]).to_pylist():
                 b = _load(row)
-                train = b.fold != 0
-                part = train & (b.fold != held_fold)
+                train, held = b.fold != 0, b.fold == held_fold
                 pair, at = b.pairs()
                 for kind, keys, place in ((1, b.words, b.tokens), (2, pair, at)):
-                    a, t = _counted(place, len(keys), part), _counted(place, len(keys), train)
+                    t, h = _counted(place, len(keys), train), _counted(place, len(keys), held)
                     cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
                     full = np.flatnonzero(cuts[1:] > cuts[:-1])
                     out = [[], [], []]
                     for r in full:
                         s = slice(cuts[r], cuts[r + 1])
-                        for o, v in zip(out, (pack_keys(keys[s]), pack(a[s]), pack(t[s])), strict=True):
+                        for o, v in zip(out, (pack_keys(keys[s]), pack(t[s]), pack(h[s])), strict=True):
                             o.append(v)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(full), kind, np.int32)), pa.array(full.astype(np.int32)), pa.array(np.full(len(full), row["block"], np.int64)), *(pa.array(o, pa.binary()) for o in out)],
-                        ["kind", "place", "block", "keys", "a", "t"],
+                        ["kind", "place", "block", "keys", "t", "h"],
                     )
 
-    return made.mapInArrow(run, "kind int, place int, block long, keys binary, a binary, t binary")
+    return made.mapInArrow(run, "kind int, place int, block long, keys binary, t binary, h binary")
 
 
 def replies(asked: DataFrame) -> DataFrame:
@@ -175,17 +176,17 @@ def replies(asked: DataFrame) -> DataFrame:
             keys = [unpack_keys(r["keys"]) for r in rows]
             everything = np.concatenate(keys)
             uniq, back = np.unique(everything, return_inverse=True)
-            sums = [np.bincount(back, weights=np.concatenate([unpack(r[c]) for r in rows]), minlength=len(uniq)).astype(np.int64) for c in ("a", "t")]
+            sums = [np.bincount(back, weights=np.concatenate([unpack(r[c]) for r in rows]), minlength=len(uniq)).astype(np.int64) for c in ("t", "h")]
             ends = np.cumsum([len(k) for k in keys])
             kind = rows[0]["kind"]
-            seen = [[int((s > 0).sum()) if kind == 1 else 0] + [0] * (len(rows) - 1) for s in sums]
+            seen = [[int((s > 0).sum()) if kind == 1 else 0] + [0] * (len(rows) - 1) for s in (sums[0], sums[0] - sums[1])]
             own = [back[e - len(k) : e] for k, e in zip(keys, ends, strict=True)]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([kind] * len(rows), pa.int32()), pa.array([rows[0]["place"]] * len(rows), pa.int32()), pa.array([r["block"] for r in rows], pa.int64()),
                     *(pa.array([pack(s[o]) for o in own], pa.binary()) for s in sums), *(pa.array(s, pa.int64()) for s in seen),
                 ],
-                ["kind", "place", "block", "a", "t", "va", "vt"],
+                ["kind", "place", "block", "t", "h", "vt", "va"],
             )
 
         held: list[dict] = []
@@ -199,7 +200,7 @@ def replies(asked: DataFrame) -> DataFrame:
             yield answer(held)
 
     return asked.repartition("kind", "place").sortWithinPartitions("kind", "place", "block").mapInArrow(
-        run, "kind int, place int, block long, a binary, t binary, va long, vt long"
+        run, "kind int, place int, block long, t binary, h binary, vt long, va long"
     )
 
 
@@ -249,25 +250,37 @@ def learn_weights(cells: np.ndarray, n: np.ndarray, uniform: float, rounds: int
     return out
 
 
-def joined(made: DataFrame, answered: DataFrame, held_fold: int, n_a: int) -> DataFrame:
-    """Each block with the training counts of its words and bigrams, and its held-out histogram."""
-    id_type = made.schema["keys"].dataType.simpleString()
-    schema = f"keys {id_type}, folds binary, counts binary, tokens binary, c1 binary, c2 binary, cells binary, held binary"
+def _meet(made: DataFrame, answered: DataFrame, run, schema: str) -> DataFrame:
+    """``run(block row, Block, place of each token's bigram, totals of words, of bigrams)`` for each block.
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    Totals are a pair of arrays: over all training documents, and over the held-out fold.
+    """
+
+    def cogroup(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = right.sort_by([("kind", "ascending"), ("place", "ascending")]).to_pylist()
-        got = {(k, c): np.concatenate([unpack(r[c]) for r in rows if r["kind"] == k]) for k in (1, 2) for c in ("a", "t")}
+        totals = [tuple(np.concatenate([unpack(r[c]) for r in rows if r["kind"] == k]) for c in ("t", "h")) for k in (1, 2)]
         row = left.to_pylist()[0]
         b = _load(row)
-        _, at = b.pairs()
+        return run(left, b, b.pairs()[1], *totals)
+
+    return made.drop("n").groupBy("block").cogroup(answered.select("kind", "place", "block", "t", "h").groupBy("block")).applyInArrow(cogroup, schema)
+
+
+def histogram(made: DataFrame, answered: DataFrame, held_fold: int, n_a: int) -> DataFrame:
+    """(cell, n): tokens of the held-out fold by context bucket and by the bins of their two estimates.
+
+    The fold is deleted from the counts that make the estimates.
+    """
+
+    def run(_, b: Block, at: np.ndarray, words: tuple, pairs: tuple) -> pa.Table:
         test = np.flatnonzero(b.fold == held_fold)
-        ctx, both, one = got[1, "a"][b.before[test]], got[2, "a"][at[test]], got[1, "a"][b.tokens[test]]
-        code = frequency_bucket(ctx) * 1_000_000 + _bin(both / np.maximum(ctx, 1)) * 1000 + _bin(one / max(n_a, 1))
+        one, two = words[0] - words[1], pairs[0] - pairs[1]
+        ctx = one[b.before[test]]
+        code = frequency_bucket(ctx) * 1_000_000 + _bin(two[at[test]] / np.maximum(ctx, 1)) * 1000 + _bin(one[b.tokens[test]] / max(n_a, 1))
         cells, n = np.unique(code, return_counts=True)
-        blobs = [row["folds"], row["counts"], row["tokens"], pack(got[1, "t"]), pack(got[2, "t"][at]), pack(cells), pack(n)]
-        return pa.Table.from_arrays([left.column("keys"), *(pa.array([x], pa.binary()) for x in blobs)], names=["keys", "folds", "counts", "tokens", "c1", "c2", "cells", "held"])
+        return pa.table({"cell": pa.array(cells, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    return made.drop("n").groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, schema)
+    return _meet(made, answered, run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_fold: int = 9) -> DataFrame:
@@ -277,16 +290,20 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", f
     ``train_tokens``, ``base_score`` (add-0.1 unigrams) and ``score``, both log10
     probabilities of the whole text with its end.
 
+    Words and bigrams are told apart by hashes of 64 and 56 bits.  EM sees the
+    held-out estimates rounded to sixteenths of an octave; scores use exact counts.
+
     Nulls: a null text is empty, its only token is the end; a null id has the
-    fold of the empty string.  Repeated rows are scored, and counted, each.  An
-    empty table gives an empty result; without training rows every estimate but
-    the uniform one is zero.
+    fold of the empty string.  Repeated rows are scored, and counted, each, so
+    equal texts of one fold have equal scores.  Very long texts are taken whole,
+    one that is longer than a block is a block.  Other columns are not looked at,
+    whatever their names.  An empty table gives an empty result; without training
+    rows every estimate but the uniform one is zero.
     """
     made = saved(blocks(docs, id_col, text_col, folds), "blocks")
     total = made.agg(F.sum("n")).first()[0] or 0
     bits = max(4, int(np.ceil(np.log2(max(total / RANGE_TOKENS, 1)))) + 1)
     answered = saved(replies(requests(made, bits, held_fold)), "replies")
-    release(docs.sparkSession)  # the requests are the largest shuffle, and are answered
     # The end of text is a token of every block, so its range is asked for by all; N is a sum over blocks.
     v_a, v_t = (x or 0 for x in answered.agg(F.sum("va"), F.sum("vt")).first())
 
@@ -297,40 +314,23 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", f
                 yield pa.RecordBatch.from_arrays([pa.array([int(c[(f != 0) & (f != held_fold)].sum())]), pa.array([int(c[f != 0].sum())])], ["a", "t"])
 
     n_a, n_t = (int(x or 0) for x in made.select("counts", "folds").mapInArrow(sizes, "a long, t long").agg(F.sum("a"), F.sum("t")).first())
-    whole = saved(joined(made, answered, held_fold, n_a), "joined")
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(unpack(row["cells"])), pa.array(unpack(row["held"]))], ["cell", "n"])
-
     # bounded by the number of bins, whatever the input
-    found = whole.select("cells", "held").mapInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    found.sort()
+    counted = saved(histogram(made, answered, held_fold, n_a), "histogram")
+    found = sorted(counted.collect())
     weights = learn_weights(np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.int64), 1 / (v_a + 1))
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, row in enumerate(batch.drop_columns(["keys"]).to_pylist()):
-                counts, c1 = unpack(row["counts"]), unpack(row["c1"])
-                tokens, c2 = unpack(row["tokens"]), unpack(row["c2"])
-                start = np.cumsum(counts) - counts
-                before = np.r_[0, tokens[:-1]]
-                before[start] = tokens[start[0] + counts[0] - 1]  # the end of a text
-                ctx, own = c1[before], c1[tokens]
-                w = weights[frequency_bucket(ctx)]
-                p = w[:, 0] * (c2 / np.maximum(ctx, 1)) + w[:, 1] * (own / max(n_t, 1)) + w[:, 2] / (v_t + 1)
-                base = np.log10((own + BASE_ADD) / (n_t + BASE_ADD * (v_t + 1)))
-                add = lambda x: np.add.reduceat(x, start)
-                keys = batch.column("keys")[i].values
-                yield pa.RecordBatch.from_arrays(
-                    [keys, pa.array(unpack(row["folds"]) == 0), pa.array(counts), pa.array(add((own > 0).astype(np.int64))),
-                     pa.array(np.full(len(counts), n_t)), pa.array(add(base)), pa.array(add(np.log10(p)))],
-                    ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+    def score(left: pa.Table, b: Block, at: np.ndarray, words: tuple, pairs: tuple) -> pa.Table:
+        ctx, own = words[0][b.before], words[0][b.tokens]
+        w = weights[frequency_bucket(ctx)]
+        p = w[:, 0] * (pairs[0][at] / np.maximum(ctx, 1)) + w[:, 1] * (own / max(n_t, 1)) + w[:, 2] / (v_t + 1)
+        base = np.log10((own + BASE_ADD) / (n_t + BASE_ADD * (v_t + 1)))
+        start = np.cumsum(b.counts) - b.counts
+        return pa.Table.from_arrays(
+            [left.column("keys").combine_chunks().flatten(), pa.array(b.folds == 0), pa.array(b.counts), pa.array(np.add.reduceat((own > 0).astype(np.int64), start)),
+             pa.array(np.full(len(start), n_t)), pa.array(np.add.reduceat(base, start)), pa.array(np.add.reduceat(np.log10(p), start))],
+            names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
 
+    id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = whole.drop("cells", "held").mapInArrow(score, schema)
-    return out.withColumnRenamed("id", id_col)
+    return _meet(made, answered, score, schema).withColumnRenamed("id", id_col)

@@ -57,7 +57,7 @@ def test_against_brute_force(spark, monkeypatch):
 
 def test_weights_rise_with_evidence():
     # bucket 5: bigrams predict; bucket 1: they never do
-    cells = np.array([5_000_000 + 9_000 + 41, 1_000_000 + 0 + 41, 1_000_000 + 9_000 + 41])
+    cells = np.array([5_000_000 + 17_000 + 81, 1_000_000 + 0 + 81, 1_000_000 + 17_000 + 81])
     w = I.learn_weights(cells, np.array([100, 95, 5]), 1e-4)
     assert w[5][0] > 0.9 > 0.5 > w[1][0]
     assert np.allclose(w.sum(axis=1), 1)
@@ -65,6 +65,41 @@ def test_weights_rise_with_evidence():
     assert np.allclose(w[30], w[5])
 
 
+def test_weights_against_plain_em(spark, monkeypatch):
+    monkeypatch.setattr(I, "BLOCK_TOKENS", 300)
+    kept = []
+    learn = I.learn_weights
+    monkeypatch.setattr(I, "learn_weights", lambda *a: kept.append(learn(*a)) or kept[-1])
+    data = [r for r in rows(400, 8) if r[0] != 502]
+    I.scores(spark.createDataFrame(data, SCHEMA)).count()
+    # one token at a time, with unrounded estimates
+    tok = [["\n", *WORD.findall((t or "").lower()), "\n"] for _, t, *_ in data]
+    fold = [zlib.crc32(("" if i is None else str(i)).encode()) % 10 for i, *_ in data]
+    one, two = Counter(), Counter()
+    for t, f in zip(tok, fold, strict=True):
+        if f not in (0, 9):
+            one.update(t[1:])
+            two.update(zip(t, t[1:]))
+    n, v = sum(one.values()), len(one)
+    seen = {}
+    for t, f in zip(tok, fold, strict=True):
+        if f == 9:
+            for a, b in zip(t, t[1:]):
+                bucket = one[a].bit_length()
+                seen.setdefault(bucket, []).append((two[a, b] / max(one[a], 1), one[b] / n, 1 / (v + 1)))
+    assert len(seen) >= 3
+    for bucket, tokens in seen.items():
+        w = [0.4, 0.5, 0.1] if bucket else [0.0, 0.5 / 0.6, 0.1 / 0.6]
+        for _ in range(60):
+            share = [0.0, 0.0, 0.0]
+            for p in tokens:
+                whole = sum(x * y for x, y in zip(w, p))
+                for j in range(3):
+                    share[j] += w[j] * p[j] / whole
+            w = [x / len(tokens) for x in share]
+        assert kept[0][bucket] == pytest.approx(w, abs=0.03)
+
+
 def test_mixture_is_a_distribution():
     one, two, n, v = {"a": 6, "b": 4}, {("a", "a"): 2, ("a", "b"): 4}, 10, 2
     w = [0.5, 0.3, 0.2]
