@@ -3,12 +3,13 @@
 Documents that belong to the same sources form one *membership pattern*.  A
 pattern with S words can give S words at each of ``max_repeat`` passes; the
 c-th pass costs more than the one before, so repetition is convex.  The flow
-runs from patterns to source quotas at the least cost: networks of one source a
-pattern have a closed answer, overlapping ones are solved by successive
-shortest paths.  Within a pattern, full passes take every document; the rest of
-the flow takes documents in the order of a seeded hash, up to the point where
-the words are used up, and one more that fits the gap.  That point is found by descending a radix tree of
-hash sums, so no task ever sorts or holds a source.
+runs from patterns to source quotas at the least cost, by successive shortest
+paths in each connected part of the network.  Within a pattern, full passes take
+every document; the rest of the flow takes documents in the order of a seeded
+hash, up to the point where the words are used up, and one more that fits the
+gap.  That point is found by descending a radix tree of hash sums, so no task
+ever sorts or holds a source.  Flow and cut points have one row a pattern; they
+go to the documents, which stay where they are.
 """
 
 from __future__ import annotations
@@ -16,15 +17,15 @@ from __future__ import annotations
 import heapq
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .store import saved
 from .text import WORD_CLASS
 
-BITS, LEVELS = 8, 5
+BITS, LEVELS = 10, 6
 MAX_PATTERNS = 100_000
+BROADCAST_ROWS = 200_000
 
 
 def word_count(col: Column) -> Column:
@@ -53,26 +54,45 @@ def quotas(sizes: Mapping, weights: Mapping, total: float, max_repeat: float) ->
     return target
 
 
-def route(patterns: Mapping[tuple, int], target: Mapping, max_repeat: int, grain: int = 1) -> dict:
+def _parts(patterns: Mapping[tuple, int]) -> list[list[tuple]]:
+    """Patterns by connected part: those of two parts have no source in common, not even over others."""
+    root: dict = {}
+
+    def find(s):
+        while root[s] != s:
+            root[s] = s = root[root[s]]
+        return s
+
+    for p in patterns:
+        for s in p:
+            root.setdefault(s, s)
+            root[find(s)] = find(p[0])
+    parts: dict = {}
+    for p in patterns:
+        if p:
+            parts.setdefault(find(p[0]), []).append(p)
+    return list(parts.values())
+
+
+def route(patterns: Mapping[tuple, int], target: Mapping, max_repeat: int) -> dict:
     """Min-cost flow: words from each pattern to each of its sources, {(pattern, source): words}.
 
     Arcs of a pattern: ``max_repeat`` arcs of capacity S with costs 0, 1, 3, 6, ...
-    (convex).  Patterns of one source whose source has no other pattern are
-    settled at once; the rest runs successive shortest augmenting paths, each
-    of which saturates an arc, so the number of rounds is bounded by the arcs.
+    (convex).  Connected parts of the network are solved one by one.
     """
-    flow = {}
+    flow: dict = {}
+    for part in _parts({p: n for p, n in patterns.items() if n > 0}):
+        flow |= _route_part({p: patterns[p] for p in part}, target, max_repeat)
+    return flow
+
+
+def _route_part(rest: Mapping[tuple, int], target: Mapping, max_repeat: int) -> dict:
+    """Successive shortest augmenting paths; each saturates an arc, so their number is bounded by the arcs."""
+    flow: dict = {}
     members: dict = {}
-    for p in patterns:
+    for p in rest:
         for s in p:
             members.setdefault(s, []).append(p)
-    settled = {s for s, ps in members.items() if len(ps) == 1 and len(ps[0]) == 1}
-    for s in settled:
-        p = members[s][0]
-        flow[p, s] = min(target.get(s, 0.0), float(max_repeat * patterns[p]))
-    rest = {p: n for p, n in patterns.items() if n > 0 and any(s not in settled for s in p)}
-    if not rest:
-        return flow
     cost = [c * (c + 1) / 2 for c in range(max_repeat)]
     used = dict.fromkeys(rest, 0.0)
     need = {s: target.get(s, 0.0) for p in rest for s in p}
@@ -100,7 +120,7 @@ def route(patterns: Mapping[tuple, int], target: Mapping, max_repeat: int, grain
                 end = x
                 break
             if kind == "s":
-                nexts = [("p", p, d) for p in members[x] if p in rest]
+                nexts = [("p", p, d) for p in members[x]]
             else:
                 nexts = [("s", s, d) for s in x if flow.get((x, s), 0.0) > eps]
                 if room := step(x):
@@ -132,6 +152,12 @@ def _null_last(s):
     return (s is None, s or "")
 
 
+def _table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """Rows of the recipe as a table; broadcast in joins while it is known to be small."""
+    made = spark.createDataFrame(rows, schema)
+    return F.broadcast(made) if len(rows) <= BROADCAST_ROWS else made
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -153,36 +179,38 @@ def mix(
     ``sources_col``: an array of the sources a document belongs to, in place of
     ``source_col``.  ``weights``: by source; left out, sources by code point
     (null last) weigh 1, 2, 3, repeating.  ``share``: part of all words to take.
-    The source list and the pattern list are the recipe and are kept on the
-    driver; over ``MAX_PATTERNS`` patterns raise an error, nothing is dropped.
+    The sources and up to ``MAX_PATTERNS`` patterns are the recipe, which the
+    driver holds.  If there are more patterns of several sources, documents of
+    the smaller ones count for one of their sources each, drawn by a hash: they
+    are mixed like all others, but the flow is then the cheapest one of the
+    narrowed memberships.
 
     Nulls: a null text has size 0 and is never taken; a null source is a source
-    of its own.  Repeated rows are separate documents that are taken alike; the
-    seed hash covers the id and the text, so ties are equal rows only.  An empty
-    table gives an empty result.  Names that clash with the added columns are
-    replaced.
+    of its own.  The seed hash covers the id and the text, so ties are equal rows
+    only; of these as many are taken once more as the words left allow.  Very
+    long texts are only counted.  An empty table gives an empty result.  Names
+    that clash with the added columns are replaced.
     """
     added = ["size", "source_size", "target", "taken", "passes"]
     docs = docs.drop(*added)
-    pattern = (
-        F.array_sort(F.array_distinct(F.col(sources_col)))
-        if sources_col
-        else F.array(F.col(source_col).cast("string"))
-    )
+    spark = docs.sparkSession
+    none = F.array(F.lit(None).cast("string"))
+    pattern = F.array_sort(F.array_distinct(F.col(sources_col).cast("array<string>"))) if sources_col else F.array(F.col(source_col).cast("string"))
     tick = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     keyed = docs.select(
         "*",
         word_count(F.col(text_col)).alias("size"),
-        F.coalesce(pattern.cast("array<string>"), F.array(F.lit(None).cast("string"))).alias("__lf_p"),
-        # a non-negative order with no value used twice by different rows in practice
+        F.coalesce(pattern, none).alias("__lf_p"),
         F.shiftrightunsigned(tick, 64 - BITS * LEVELS).alias("__lf_h"),
     )
+    if sources_col:
+        keyed = _narrowed(keyed)
     keyed = keyed.withColumn("__lf_pk", F.to_json(F.struct("__lf_p")))
     slim = saved(keyed.select("__lf_p", "__lf_pk", "__lf_h", "size"), "mix")
-    totals = slim.groupBy("__lf_pk").agg(F.sum("size").alias("n"), F.first("__lf_p").alias("p")).limit(MAX_PATTERNS + 1).collect()
-    if len(totals) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    patterns = {tuple(r["p"]): int(r["n"]) for r in totals}
+    # one row a pattern: the recipe
+    totals = slim.groupBy("__lf_pk").agg(F.sum("size").alias("n"), F.first("__lf_p").alias("p")).collect()
+    slim = slim.select("__lf_pk", "__lf_h", "size").filter("size > 0")
+    patterns = {tuple(r["p"]): int(r["n"]) for r in sorted(totals, key=lambda r: r["__lf_pk"])}
     size: dict = {}
     for p, n in patterns.items():
         for s in p:
@@ -194,65 +222,103 @@ def mix(
     got: dict = dict.fromkeys(patterns, 0.0)
     for (p, _), words in flow.items():
         got[p] += words
-    spark = docs.sparkSession
-    plan = []
+    full, rest = {}, {}
     for r in totals:
-        p = tuple(r["p"])
+        key, p = r["__lf_pk"], tuple(r["p"])
         n = patterns[p]
-        full = min(int(got[p] // n), max_repeat) if n else 0
-        rest = float(min(max(got[p] - full * n, 0.0), n)) if full < max_repeat else 0.0
-        plan.append((r["__lf_pk"], int(size[p[0]]) if p else 0, float(target[p[0]]) if p else 0.0, full, rest))
-    recipe = spark.createDataFrame(
-        plan,
-        T.StructType(
-            [
-                T.StructField("__lf_pk", T.StringType()),
-                T.StructField("source_size", T.LongType()),
-                T.StructField("target", T.DoubleType()),
-                T.StructField("__lf_full", T.IntegerType()),
-                T.StructField("__lf_rest", T.DoubleType()),
-            ]
-        ),
-    )
-    cut = _cut_points(slim, recipe)
-    out = keyed.join(recipe.join(cut, "__lf_pk", "left"), "__lf_pk", "left")
-    extra = F.when((F.col("__lf_h") <= F.col("__lf_cut")) | (F.col("__lf_h") == F.col("__lf_fill")), 1).otherwise(0)
-    out = out.withColumn("passes", F.when(F.col("size") > 0, F.col("__lf_full") + extra).otherwise(0).cast("int"))
+        full[key] = min(int(got[p] / n + 1e-9), max_repeat) if n else 0
+        left = got[p] - full[key] * n
+        if full[key] < max_repeat and left > 1e-6:
+            rest[key] = left
+    cut, once = _cut_points(spark, slim, rest)
+    plan = []
+    for r in totals:
+        key, p = r["__lf_pk"], tuple(r["p"])
+        tick_once, copies, have = once.get(key, (None, 0, 0))
+        plan.append((key, int(size[p[0]]) if p else 0, float(target[p[0]]) if p else 0.0, full[key], cut.get(key, 0), tick_once, copies, copies < have))
+    recipe = _table(spark, plan, "__lf_pk string, source_size long, target double, __lf_full int, __lf_cut long, __lf_once long, __lf_copies long, __lf_split boolean")
+    out = keyed.join(recipe, "__lf_pk")
+    at_once = F.coalesce(F.col("__lf_h") == F.col("__lf_once"), F.lit(False))
+    more = (F.col("__lf_h") < F.col("__lf_cut")) | at_once
+    if any(row[-1] for row in plan):
+        split = at_once & F.col("__lf_split")
+        ranked = _ranked(out.filter(split), ["__lf_pk", "__lf_h"]).withColumn("__lf_more", F.col("__lf_rank") <= F.col("__lf_copies")).drop("__lf_rank")
+        out = out.filter(~split).withColumn("__lf_more", more).unionByName(ranked)
+    else:
+        out = out.withColumn("__lf_more", more)
+    passes = F.col("__lf_full") + F.when(F.col("__lf_more"), 1).otherwise(0)
+    out = out.withColumn("passes", F.when(F.col("size") > 0, passes).otherwise(0).cast("int"))
     out = out.withColumn("taken", (F.col("size") * F.col("passes")).cast("long"))
     return out.select(*docs.columns, "size", "source_size", "target", "taken", "passes")
 
 
-def _cut_points(slim: DataFrame, recipe: DataFrame) -> DataFrame:
-    """Per pattern the largest hash that is taken once more, and one hash past it that fills the gap.
+def _narrowed(keyed: DataFrame) -> DataFrame:
+    """Patterns as they are while they fit the recipe; beyond that the smaller ones shrink to one source a document."""
+    counts = keyed.filter(F.size("__lf_p") > 1).groupBy("__lf_p").agg(F.sum("size").alias("__lf_n"))
+    largest = counts.orderBy(F.desc("__lf_n"), "__lf_p").limit(MAX_PATTERNS + 1).select("__lf_p").collect()
+    if len(largest) <= MAX_PATTERNS:
+        return keyed
+    whole = _table(keyed.sparkSession, [(r["__lf_p"], True) for r in largest[:-1]], "__lf_p array<string>, __lf_whole boolean")
+    one = F.array(F.get("__lf_p", F.pmod(F.col("__lf_h"), F.size("__lf_p")).cast("int")))
+    kept = F.col("__lf_whole").isNotNull() | (F.size("__lf_p") < 2)
+    return keyed.join(whole, "__lf_p", "left").withColumn("__lf_p", F.when(kept, F.col("__lf_p")).otherwise(one)).drop("__lf_whole")
+
+
+def _ranked(df: DataFrame, key: list[str]) -> DataFrame:
+    """``__lf_rank`` from 1 among the rows of a key, counted partition by partition, however many rows a key has."""
+    marked = saved(df.withColumn("__lf_at", F.monotonically_increasing_id()), "copies").withColumn("__lf_part", F.shiftright("__lf_at", 33))
+    counts = marked.groupBy(*key, "__lf_part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("__lf_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = counts.select(*key, "__lf_part", before.alias("__lf_before"))
+    own = F.row_number().over(Window.partitionBy(*key, "__lf_part").orderBy("__lf_at"))
+    return marked.withColumn("__lf_own", own).join(ahead, [*key, "__lf_part"]).withColumn(
+        "__lf_rank", F.col("__lf_own") + F.col("__lf_before")
+    ).drop("__lf_at", "__lf_part", "__lf_own", "__lf_before")
 
-    Each level sums the words of the at most 2**BITS branches below the branch
-    where the rest runs out; sums are taken before the shuffle.
+
+def _cut_points(spark: SparkSession, slim: DataFrame, rest: Mapping[str, float]) -> tuple[dict, dict]:
+    """By pattern, where the words in ``rest`` are used up.
+
+    First the hash below which all documents are taken once more, then (hash,
+    copies to take, copies there are) of the one that fills the gap.  Each level
+    sums the words of the at most 2**BITS branches below the branch where the rest
+    runs out, before the shuffle; it ends with the branches that hold one document.
     """
-    width = BITS * LEVELS
-    at = recipe.filter("__lf_rest > 0").select("__lf_pk", F.col("__lf_rest").alias("rest"), F.lit(0).cast("long").alias("prefix"))
+    cut: dict = {}
+    once: dict = {}
+    gaps = []
+    now = [(key, words, 0) for key, words in rest.items()]
     for level in range(1, LEVELS + 1):
-        shift = width - BITS * level
-        inside = slim.filter("size > 0").join(at, "__lf_pk").filter(
-            F.shiftright("__lf_h", shift + BITS) == F.col("prefix")
-        )
-        sums = inside.groupBy("__lf_pk", "rest", F.shiftright("__lf_h", shift).alias("branch")).agg(F.sum("size").alias("n"))
-        # one array of at most 2**BITS sums a pattern
-        steps = F.array_sort(F.collect_list(F.struct("branch", "n")))
+        if not now:
+            break
+        shift = BITS * (LEVELS - level)
+        at = _table(spark, now, "__lf_pk string, rest double, prefix long")
+        inside = slim.join(at, "__lf_pk").filter(F.shiftright("__lf_h", shift + BITS) == F.col("prefix"))
+        sums = inside.groupBy("__lf_pk", "rest", F.shiftright("__lf_h", shift).alias("branch")).agg(F.sum("size").alias("n"), F.count("*").alias("m"))
         walked = F.aggregate(
-            F.col("steps"),
-            F.struct(F.lit(0).cast("long").alias("branch"), F.col("rest").alias("left"), F.lit(0.0).alias("last")),
-            lambda acc, x: F.when(acc["left"] - acc["last"] > 0, F.struct(
-                x["branch"].alias("branch"), (acc["left"] - acc["last"]).alias("left"), x["n"].cast("double").alias("last")
+            F.array_sort(F.collect_list(F.struct("branch", "n", "m"))),
+            F.struct(F.lit(0).cast("long").alias("branch"), F.col("rest").alias("left"), F.lit(0.0).alias("n"), F.lit(0).cast("long").alias("m")),
+            lambda acc, x: F.when(acc["left"] - acc["n"] > 1e-6, F.struct(
+                x["branch"].alias("branch"), (acc["left"] - acc["n"]).alias("left"), x["n"].cast("double").alias("n"), x["m"].alias("m")
             )).otherwise(acc),
         )
-        at = sums.groupBy("__lf_pk", "rest").agg(steps.alias("steps")).select("__lf_pk", walked.alias("w")).select(
-            "__lf_pk", F.col("w.left").alias("rest"), F.col("w.branch").alias("prefix")
-        )
-        at = saved(at, "cut")
-    # The branch reached holds one document in practice and is left out; the words still
-    # missing go to the one document past the cut whose size comes nearest to them.
-    cut = at.select("__lf_pk", (F.col("prefix") - 1).alias("__lf_cut"), F.col("rest").alias("gap"))
-    past = slim.filter("size > 0").join(cut, "__lf_pk").filter(F.col("__lf_h") > F.col("__lf_cut"))
-    fill = past.groupBy("__lf_pk").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "__lf_h")).alias("best"))
-    better = F.when(F.col("best.off") < F.col("gap"), F.col("best.__lf_h"))
-    return cut.join(fill, "__lf_pk", "left").select("__lf_pk", "__lf_cut", better.alias("__lf_fill"))
+        found = sums.groupBy("__lf_pk", "rest").agg(walked.alias("w")).select("__lf_pk", "w.*").collect()
+        now = []
+        for key, branch, left, words, m in found:
+            cut[key] = branch << shift
+            if m > 1 and level < LEVELS:
+                now.append((key, left, branch))
+            elif m > 1:  # equal rows
+                once[key] = (branch, min(m, round(left * m / words)), m)
+            else:
+                gaps.append((key, cut[key], left))
+    # The one document of the branch is left out; the words still missing go to the one
+    # document past the cut whose size comes nearest to them.
+    if gaps:
+        at = _table(spark, gaps, "__lf_pk string, cut long, gap double")
+        past = slim.join(at, "__lf_pk").filter(F.col("__lf_h") >= F.col("cut"))
+        best = past.groupBy("__lf_pk", "gap").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), F.col("__lf_h").alias("h"))).alias("b"))
+        fill = [(r["__lf_pk"], r["h"]) for r in best.filter("b.off < gap").select("__lf_pk", "b.h").collect()]
+        copies = slim.join(_table(spark, fill, "__lf_pk string, __lf_h long"), ["__lf_pk", "__lf_h"]).groupBy("__lf_pk", "__lf_h").count()
+        once |= {key: (h, 1, n) for key, h, n in copies.collect()}
+    return cut, once

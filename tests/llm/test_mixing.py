@@ -102,3 +102,61 @@ def test_mix_overlapping_sources(spark):
 
 def test_mix_empty(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_equal_rows_are_shared_out(spark):
+    rows = [(1, "a b c d e f g h i j", "one", "x", 0)] * 1000 + [(2, "w " * 5, "two", "x", 0)] * 10
+    rows += [(3, "q w e", "three", "x", 0)] * 40
+    got = mix(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    assert len(got) == len(rows)
+    for source, longest in (("one", 10), ("two", 5), ("three", 3)):
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= longest
+    assert max(r["passes"] for r in got) <= 3
+
+
+def test_one_source_patterns_run_through_the_flow(monkeypatch):
+    from lumenframe.llm import mixing
+
+    solved = []
+    solver = mixing._route_part
+    monkeypatch.setattr(mixing, "_route_part", lambda part, *a: solved.append(set(part)) or solver(part, *a))
+    flow = route({("a",): 10, ("b",): 4, ("c",): 0}, {"a": 17.0, "b": 12.0, "c": 0.0}, 3)
+    assert solved == [{("a",)}, {("b",)}]
+    assert flow == {(("a",), "a"): pytest.approx(17.0), (("b",), "b"): pytest.approx(12.0)}
+
+
+def test_selection_against_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randint(0, 30), rng.choice("aaabbc"), "x", 0) for i in range(2000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    ticks = {r[0]: r[1] for r in df.select("doc_id", F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id", "text"), 4)).collect()}
+    got = {r["doc_id"]: r for r in mix(df).collect()}
+    for source in "abc":
+        own = [r for r in rows if r[2] == source]
+        n = {i: t.count("w") for i, t, *_ in own}
+        whole, goal = sum(n.values()), got[own[0][0]]["target"]
+        full = int(goal / whole + 1e-9)
+        left, passes = goal - full * whole, {i: full for i in n}
+        if full < 3 and left > 1e-6:
+            order = sorted((i for i in n if n[i]), key=lambda i: ticks[i])
+            while n[order[0]] < left - 1e-6:
+                left -= n[order[0]]
+                passes[order.pop(0)] += 1
+            off, _, best = min((abs(n[i] - left), ticks[i], i) for i in order)
+            if off < left:
+                passes[best] += 1
+        assert {i: got[i]["passes"] for i in n if n[i]} == {i: passes[i] for i in n if n[i]}
+
+
+def test_more_patterns_than_the_recipe_holds(spark, monkeypatch):
+    from lumenframe.llm import mixing
+
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 3)
+    rng = random.Random(4)
+    rows = [(i, "a b c", rng.sample("pqrst", rng.randint(0, 4)) if i else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, sources array<string>")
+    got = mix(df, sources_col="sources", share=0.5).collect()
+    assert len(got) == 400
+    assert sum(r["taken"] for r in got) == pytest.approx(600, abs=30)
+    assert all(r["passes"] == 0 for r in got if r["sources"] == [])
