@@ -1,23 +1,25 @@
 """Benchmark decontamination with SimHash windows of the size of each item.
 
 Built-in expressions only.  For every benchmark item, windows of as many words
-slide over every document.  A window that shares too few of the item's five-word
-shingles to reach the similarity is passed over before it is fingerprinted,
-which loses nothing.  The others get a 64-bit SimHash; windows and items that
-agree in at least one of ``radius + 1`` bit blocks meet, so that every pair
-within the radius does; those within it are verified by the weighted Jaccard
-similarity of their shingles.
+slide over every document.  Windows that can't hold enough of the item's
+five-word shingles are passed over before they are fingerprinted, by bounds that
+lose nothing (see ``_starts``).  The others get a 64-bit SimHash; windows and
+items that agree in at least one of ``radius + 1`` bit blocks meet, so that every
+pair within the radius does; those within it are verified by the weighted
+Jaccard similarity of their shingles.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import saved
 from .text import ascii_lower, let, row_key, words
 
 K = 5
 BROADCAST_ROWS = 1_000_000
+DOC = ["__lf_k1", "__lf_k2"]
 
 
 def shingles(w: Column, k: int = K) -> Column:
@@ -55,58 +57,61 @@ def simhash(h: Column) -> Column:
     return F.aggregate(h, zero, add, finish)
 
 
+def _edges(radius: int) -> list[tuple[int, int]]:
+    n = radius + 1
+    cuts = [64 * i // n for i in range(n + 1)]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
+def _bits(fp: Column, lo: int, hi: int) -> Column:
+    return F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long"))
+
+
 def blocks(fp: Column, radius: int) -> Column:
     """(block number, bits) of radius + 1 blocks that cover all 64 bits."""
-    n = radius + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    return F.array(*[
-        F.struct(F.lit(i).alias("b"), F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")).alias("v"))
-        for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))
-    ])
+    return F.array(*[F.struct(F.lit(i).alias("b"), _bits(fp, lo, hi).alias("v")) for i, (lo, hi) in enumerate(_edges(radius))])
+
+
+def first_equal_block(differ: Column, radius: int) -> Column:
+    """Number of the first block without a differing bit, null if there is none."""
+    return F.coalesce(*[F.when(_bits(differ, lo, hi) == 0, i) for i, (lo, hi) in enumerate(_edges(radius))])
 
 
 def weighted_overlap(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two short arrays."""
-    return F.aggregate(
+    def distinct(x):
+        return F.size(F.array_distinct(x)) == F.size(x)
+    counted = F.aggregate(
         F.array_distinct(a), F.lit(0),
         lambda acc, x: acc + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))),
     )
+    return F.when(distinct(a) | distinct(b), F.size(F.array_intersect(a, b))).otherwise(counted)
 
 
-def leaks(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_col: str = "item_id",
-    similarity: float = 0.8,
-    radius: int = 16,
-    k: int = K,
-) -> DataFrame:
-    """Benchmark passages found: id, item, first word of the best window, windows, distance, similarity.
+def _sent(table: DataFrame) -> DataFrame:
+    """The table as the small side of a join: broadcast if it has few enough rows."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
 
-    One row per document (each row of ``docs`` that holds the passage; equal
-    rows once) and item.  Words are folded for A to Z; windows have as many words
-    as the item and start at every word.  Items of fewer than ``k`` words are one
-    shingle.  Equal items are found under each of their ids.
 
-    Nulls: a null or empty text, or an item without words, has no window and no
-    row.  Very long texts are taken whole.  Of equally
-    similar windows the first one looked at (see ``between``) is named.
-    """
-    text = F.col(text_col)
-    items = (
-        benchmark.select(F.col(item_col).alias("__lf_item"), words(ascii_lower(F.col("text"))).alias("__lf_w"))
-        .select("__lf_item", F.size("__lf_w").alias("__lf_n"), shingles(F.col("__lf_w"), k).alias("__lf_s"))
-        .filter("__lf_n > 0")
-    )
-    items = items.withColumn("__lf_ifp", simhash(F.col("__lf_s")))
-    index = items.select("__lf_item", "__lf_n", F.posexplode("__lf_s").alias("__lf_j", "__lf_h"))
+def _held(n: Column, k: int) -> Column:
+    """Shingles of n words."""
+    return F.greatest(n - k + 1, F.lit(1))
 
-    base = docs.select(*row_key(F.col(id_col), text), F.col(id_col).alias("__lf_id"), text.alias("__lf_text"))
+
+def _starts(base: DataFrame, items: DataFrame, similarity: float, k: int) -> DataFrame:
+    """All windows that can reach the similarity: row keys, words of the item, and an array of (o, item).
+
+    Multisets of m and m' shingles with similarity s share at least s(m+m')/(1+s)
+    of them, and s*m in any case.  So a document with the item holds one of any
+    m - s*m + 1 of its shingles: the rarest ones name the pairs of document and
+    item, and no pair is named by a shingle that very many documents hold alone.
+    Of a pair, the shared shingles of the whole document must reach the bound,
+    and a window is wanted only if it has that many places with a shingle of the
+    item.
+    """
+    index = items.select("__lf_item", "__lf_n", F.explode("__lf_s").alias("__lf_h")).groupBy("__lf_item", "__lf_n", "__lf_h").agg(F.count("*").alias("__lf_c"))
+    index = saved(index, "item-shingles")
     lengths = [r[0] for r in items.filter(F.col("__lf_n") < k).select("__lf_n").distinct().collect()]
-    w = words(ascii_lower(F.col("__lf_text")))
 
     def all_hashes(a):
         kind = "array<struct<p:int,h:bigint,w:int>>"
@@ -119,68 +124,136 @@ def leaks(
             found = F.concat(found, F.coalesce(short, F.array().cast(kind)))
         return found
 
-    seen = base.select("__lf_k1", "__lf_k2", F.explode(let(w, all_hashes)).alias("__lf_x")).select(
-        "__lf_k1", "__lf_k2", F.col("__lf_x.p").alias("__lf_p"), F.col("__lf_x.h").alias("__lf_h"), F.col("__lf_x.w").alias("__lf_words")
+    seen = base.select(*DOC, F.explode(let(words(ascii_lower(F.col("__lf_text"))), all_hashes)).alias("__lf_x")).select(
+        *DOC, F.col("__lf_x.w").alias("__lf_words"), F.col("__lf_x.h").alias("__lf_h"), F.col("__lf_x.p").alias("__lf_p")
+    )
+    # one row for a document and a shingle, however often it comes and however many copies the document has
+    met = seen.join(_sent(index.select("__lf_h").distinct()), "__lf_h", "left_semi").groupBy(*DOC, "__lf_words", "__lf_h").agg(F.collect_set("__lf_p").alias("__lf_ps"))
+    met = saved(met, "met")
+
+    common = met.groupBy("__lf_h").agg(F.count("*").alias("__lf_f"))
+    order = Window.partitionBy("__lf_item").orderBy(F.coalesce("__lf_f", F.lit(0)), "__lf_h")
+    before = F.coalesce(F.sum("__lf_c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = _held(F.col("__lf_n"), k)
+    rarest = index.join(common, "__lf_h", "left").withColumn("__lf_b", before).filter(F.col("__lf_b") <= held - F.ceil(F.lit(similarity) * held - 1e-9))
+    named = met.join(_sent(rarest.select("__lf_h", "__lf_item", "__lf_n")), "__lf_h").select(*DOC, "__lf_words", "__lf_item", "__lf_n").distinct()
+    both = named.join(_sent(index), ["__lf_item", "__lf_n"]).join(met.select(*DOC, "__lf_h", "__lf_ps"), [*DOC, "__lf_h"])
+    window = _held(F.least("__lf_n", "__lf_words"), k)
+    need = F.ceil(F.lit(similarity / (1 + similarity)) * (held + window) - 1e-9).cast("int")
+    pairs = both.groupBy(*DOC, "__lf_words", "__lf_item", "__lf_n").agg(
+        F.sum(F.least(F.size("__lf_ps"), F.col("__lf_c"))).alias("__lf_c"), F.array_sort(F.flatten(F.collect_list("__lf_ps"))).alias("__lf_at")
+    ).withColumn("__lf_need", need).filter("__lf_c >= __lf_need")
+
+    def starts(at):
+        # places i to i + need - 1 lie in the windows that start from lo(i) to hi(i); both ends only rise with i
+        need, last = F.col("__lf_need"), F.greatest(F.col("__lf_words") - F.col("__lf_n"), F.lit(0))
+        def hi(i):
+            return F.least(F.get(at, i), last)
+        def run(i):
+            lo = F.greatest(F.get(at, i + need - 1) - window + 1, F.lit(0), F.when(i > 0, hi(i - 1) + 1))
+            return F.when(lo <= hi(i), F.sequence(lo, hi(i))).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(at) - need), run))
+
+    wanted = pairs.withColumn("__lf_o", let(F.col("__lf_at"), starts)).select(*DOC, "__lf_n", F.transform("__lf_o", lambda o: F.struct(o.alias("o"), F.col("__lf_item").alias("item"))).alias("__lf_at"))
+    return saved(wanted.groupBy(*DOC, "__lf_n").agg(F.flatten(F.collect_list("__lf_at")).alias("__lf_at")), "windows")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, *, id_col: str, text_col: str, item_col: str, similarity: float, radius: int, k: int) -> DataFrame:
+    """Windows at the similarity: row keys, id, item, first word, distance and similarity."""
+    text = F.col(text_col)
+    items = (
+        benchmark.select(F.col(item_col).alias("__lf_item"), words(ascii_lower(F.col("text"))).alias("__lf_w"))
+        .select("__lf_item", F.size("__lf_w").alias("__lf_n"), shingles(F.col("__lf_w"), k).alias("__lf_s"))
+        .filter("__lf_n > 0")
     )
-    fits = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    met = seen.join(F.broadcast(index) if fits else index, "__lf_h")
-    # A window at o holds an item's shingle j at o + j if it holds it in place.  The best
-    # window of an item starts on or between such diagonals.
-    pair = ["__lf_k1", "__lf_k2", "__lf_item"]
-    diagonals = met.groupBy(*pair, "__lf_n", "__lf_words", (F.col("__lf_p") - F.col("__lf_j")).alias("__lf_o")).agg(F.count("*").alias("__lf_c"))
-    # similarity s of multisets of m and m' needs s(m+m')/(1+s) in common; a text shorter than the item is a smaller window
-    def held(n):
-        return F.greatest(n - k + 1, F.lit(1))
-    both = held(F.col("__lf_n")) + held(F.least("__lf_n", "__lf_words"))
-    need = F.ceil(F.lit(similarity / (1 + similarity)) * both - 1e-9)
-    found = diagonals.groupBy(*pair, "__lf_n", "__lf_words").agg(
-        F.sum("__lf_c").alias("__lf_c"), F.array_sort(F.collect_set("__lf_o")).alias("__lf_os")
-    ).filter(F.col("__lf_c") >= need)
-    def between(a):
-        return F.flatten(F.transform(a, lambda o, i: F.sequence(
-            o, F.when(F.coalesce(F.get(a, i + 1) - o, F.col("__lf_n")) < F.col("__lf_n"), F.get(a, i + 1) - 1).otherwise(o)
-        )))
-    starts = found.select(*pair, "__lf_n", F.explode(let(F.col("__lf_os"), between)).alias("__lf_o"))
-    # Windows are item-sized: one fingerprint for all items of a size.
-    wanted = starts.groupBy("__lf_k1", "__lf_k2").agg(F.collect_set(F.struct(F.col("__lf_n").alias("n"), F.col("__lf_o").alias("o"))).alias("__lf_at"))
-    texts = base.join(wanted, ["__lf_k1", "__lf_k2"])
+    # items are told apart by id and words, so that one id may have several texts
+    items = saved(items.withColumn("__lf_item", F.struct(F.col("__lf_item").alias("id"), F.xxhash64("__lf_s").alias("x"))).dropDuplicates(["__lf_item"]), "items")
+    base = docs.select(*row_key(F.col(id_col), text), F.col(id_col).alias("__lf_id"), text.alias("__lf_text"))
+    wanted = _starts(base, items, similarity, k)
+    # the texts that hold wanted windows, once each
+    texts = base.join(_sent(wanted), DOC).groupBy(*DOC, "__lf_n").agg(*[F.first(c).alias(c) for c in ("__lf_id", "__lf_text", "__lf_at")])
+
     def cut(a):
-        # windows past either end move to the end; a text shorter than the item is one window
-        def at(x):
-            return F.greatest(F.least(x["o"], F.size(a) - x["n"]), F.lit(0))
-        return F.array_distinct(F.transform("__lf_at", lambda x: F.struct(
-            x["n"].alias("n"), at(x).alias("o"), shingles(F.slice(a, at(x) + 1, x["n"]), k).alias("s"),
-        )))
+        def of(h):
+            n = F.col("__lf_n")
+            m = _held(n, k)
+            short = F.when(n < k, F.transform("__lf_at", lambda x: F.array(F.xxhash64(F.slice(a, x["o"] + 1, n)))))
+            longer = F.transform("__lf_at", lambda x: F.slice(h, x["o"] + 1, m))
+            return F.arrays_zip(F.col("__lf_at").alias("at"), F.coalesce(short, longer).alias("s"))
+        return let(shingles(a, k), of)
+
     windows = (
-        texts.select("__lf_id", F.explode(let(w, cut)).alias("__lf_x"))
-        .select("__lf_id", F.col("__lf_x.n").alias("__lf_n"), F.col("__lf_x.o").alias("__lf_o"), F.col("__lf_x.s").alias("__lf_ws"))
+        texts.select(*DOC, "__lf_id", F.explode(let(words(ascii_lower(F.col("__lf_text"))), cut)).alias("__lf_x"))
+        .select(*DOC, "__lf_id", F.col("__lf_x.at.item").alias("__lf_item"), F.col("__lf_x.at.o").alias("__lf_o"), F.col("__lf_x.s").alias("__lf_ws"))
         .withColumn("__lf_fp", simhash(F.col("__lf_ws")))
     )
     keyed = windows.withColumn("__lf_b", F.explode(blocks(F.col("__lf_fp"), radius)))
-    indexed = items.withColumn("__lf_b", F.explode(blocks(F.col("__lf_ifp"), radius)))
+    indexed = items.withColumn("__lf_ifp", simhash(F.col("__lf_s"))).withColumn("__lf_b", F.explode(blocks(F.col("__lf_ifp"), radius)))
+    differ = F.col("__lf_fp").bitwiseXOR(F.col("__lf_ifp"))
     near = (
-        keyed.join(indexed, ["__lf_n", "__lf_b"])
-        .withColumn("distance", F.bit_count(F.col("__lf_fp").bitwiseXOR(F.col("__lf_ifp"))))
-        .filter(F.col("distance") <= radius)
-        .dropDuplicates(["__lf_id", "__lf_o", "__lf_item"])
+        keyed.join(_sent(indexed), ["__lf_item", "__lf_b"])
+        .withColumn("distance", F.bit_count(differ))
+        # a pair meets in every block in which it agrees, and counts in the first of them
+        .filter((F.col("distance") <= radius) & (first_equal_block(differ, radius) == F.col("__lf_b.b")))
     )
-    shared = weighted_overlap(F.col("__lf_s"), F.col("__lf_ws"))
-    sim = near.withColumn("__lf_i", shared).withColumn("similarity", F.col("__lf_i") / (F.size("__lf_s") + F.size("__lf_ws") - F.col("__lf_i")))
+    sim = near.withColumn("__lf_i", weighted_overlap(F.col("__lf_s"), F.col("__lf_ws"))).withColumn(
+        "similarity", F.col("__lf_i") / (F.size("__lf_s") + F.size("__lf_ws") - F.col("__lf_i"))
+    )
+    return sim.filter(F.col("similarity") >= similarity - 1e-12).select(*DOC, "__lf_id", F.col("__lf_item.id").alias("__lf_item"), "__lf_o", "distance", "similarity")
+
+
+def leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    similarity: float = 0.8,
+    radius: int = 20,
+    k: int = K,
+) -> DataFrame:
+    """Benchmark passages found: id, item, first word of the best window, windows, distance, similarity.
+
+    One row per document (each id whose text holds the passage; equal rows once)
+    and item.  Words are folded for A to Z; windows have as many words as the item
+    and start at every word; a text shorter than the item is one smaller window.
+    Items of fewer than ``k`` words are one shingle.  Equal items are found under
+    each of their ids.
+
+    Nulls: a null or empty text, or an item without words, has no window and no
+    row; a null id or item id is a name like any other.  Very long texts are
+    taken whole, windows of one text in one task.  Of equally similar windows the
+    first is named, with its distance.  Other columns are not looked at, whatever
+    their names.  Empty tables: no rows.
+    """
+    found = _found(docs, benchmark, id_col=id_col, text_col=text_col, item_col=item_col, similarity=similarity, radius=radius, k=k)
     best = F.max(F.struct(F.col("similarity"), (-F.col("__lf_o")).alias("o"), F.col("distance")))
     return (
-        sim.filter(F.col("similarity") >= similarity - 1e-12)
-        .groupBy(F.col("__lf_id").alias(id_col), F.col("__lf_item").alias(item_col))
+        found.groupBy(F.col("__lf_id").alias(id_col), F.col("__lf_item").alias(item_col))
         .agg(best.alias("b"), F.countDistinct("__lf_o").alias("windows"))
         .select(id_col, item_col, (-F.col("b.o")).alias("first_word"), "windows", F.col("b.distance").alias("distance"), F.col("b.similarity").alias("similarity"))
     )
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def without_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    similarity: float = 0.8,
+    radius: int = 20,
+    k: int = K,
+) -> DataFrame:
     """The rows of ``docs`` in which ``leaks`` finds no benchmark passage; columns as they are.
 
     Rows are told apart by id and text, so a clean row is kept even if it shares
-    an id with a contaminated one.
+    an id with a contaminated one.  All else as in ``leaks``: null and empty texts
+    stay, equal rows stay or go together.
     """
-    marked = docs.withColumn("__lf_row", F.to_json(F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("a"), F.hash(text_col).alias("b"))))
-    bad = leaks(marked, benchmark, id_col="__lf_row", text_col=text_col, **options).select("__lf_row").distinct()
-    return marked.join(bad, "__lf_row", "left_anti").drop("__lf_row")
+    found = _found(docs, benchmark, id_col=id_col, text_col=text_col, item_col=item_col, similarity=similarity, radius=radius, k=k)
+    bad = saved(found.select(*DOC).distinct(), "leaking")
+    marked = docs.select("*", *row_key(F.col(id_col), F.col(text_col)))
+    return marked.join(_sent(bad), DOC, "left_anti").drop(*DOC)

@@ -108,3 +108,55 @@ def test_document_shorter_than_the_item(spark):
     assert any(s < 8 / 9 for s in want.values())
     assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in D.leaks(df, bench).collect()} == want
     assert D.without_leaks(df, bench).count() == len(docs) - len({k[0] for k in want})
+
+
+def test_moved_interleaved_and_repeated_passages(spark):
+    rng = random.Random(11)
+    items, docs = [], []
+    for j in range(12):
+        v = [f"i{j}w{i}" for i in range(rng.randint(20, 60))]
+        if j % 3 == 0:
+            v[5:5] = v[:5]  # repeated shingles
+        items.append((j, " ".join(v)))
+        half = rng.randint(8, len(v) - 8)
+        pad = [f"p{rng.randrange(40)}" for _ in range(60)]
+        forms = [
+            v[half:] + v[:half],  # rotated
+            v[half:] + v + v[:half],
+            v[:half] + ["x"] + v[half:],
+            v[:half] + ["x", "y"] + v[half:],
+            v + v,
+            [w for i, w in enumerate(v) if i != half],
+            v[:half] + v[half - 5 :],
+            v[2:-2] + v[:2],
+            items[max(0, j - 1)][1].split()[5:] + v,
+        ]
+        for f in forms:
+            at = rng.choice([0, 20, 60])
+            docs.append((len(docs), " ".join(pad[:at] + f + pad[at:]), "c", 1))
+    df, bench = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id bigint, text string")
+    want = {k: round(s, 9) for k, (s, _) in brute(docs, items).items()}
+    assert len(want) > 50
+    assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in D.leaks(df, bench).collect()} == want
+
+
+def test_shingle_that_all_documents_and_items_hold(spark):
+    hot = "of the people by the people"
+    items = [(j, hot + "".join(f" i{j}w{i}" for i in range(12))) for j in range(30)] + [(99, "w " * 20)]
+    docs = [(i, f"d{i} e{i} " + hot + f" f{i}", "c", 1) for i in range(500)]
+    docs += [(600, items[7][1], "c", 1), (601, "w " * 8000, "c", 1), (602, "w " * 17, "c", 1)]
+    df, bench = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["first_word"], r["windows"], round(r["similarity"], 9)) for r in D.leaks(df, bench).collect()}
+    assert got == {(600, 7): (0, 1, 1.0), (601, 99): (0, 7981, 1.0), (602, 99): (0, 1, 0.8125)}
+
+
+def test_null_ids_ties_and_clashing_names(spark):
+    items = [(None, "a b c d e f g h"), (1, "a b c d e f g h"), (1, "q w e r t y u i")]
+    docs = [(None, "a b c d e f g h", 1, 2), (5, "z a b c d e f g h z a b c d e f g h", 1, 2), (5, "q w e r t y u i", 1, 2), (5, "clean", 1, 2), (6, None, 1, 2)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, distance int, __lf_n int")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"], r["first_word"]) for r in D.leaks(df, bench).collect()}
+    assert got == {(None, None, 0), (None, 1, 0), (5, None, 1), (5, 1, 0)}
+    kept = D.without_leaks(df, bench)
+    assert kept.columns == df.columns
+    assert {(r["doc_id"], r["text"]) for r in kept.collect()} == {(5, "clean"), (6, None)}
