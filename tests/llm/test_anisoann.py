@@ -54,20 +54,57 @@ def test_loss_weighs_the_parallel_part():
 
     def parallel(weight):
         c = A.fit(x, 4, 2, weight)
-        codes = c.encode(x)
-        back = c.words[np.arange(codes.shape[1]), codes].reshape(len(x), -1)
+        home = c.home(x)
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        return (((x - back) * unit).sum(axis=1) ** 2).mean()
+        return (((x - c.decoded(c.encode(x, home), home)) * unit).sum(axis=1) ** 2).mean()
 
     assert parallel(6.0) < parallel(1.0)
 
 
-def test_scan_is_the_sum_of_look_ups():
+def test_scan_is_the_product_with_the_decoded_rows():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(200, 7))
     c = A.fit(x, 2, 2, 4.0)
-    codes = c.encode(x)
-    back = c.words[np.arange(codes.shape[1]), codes].reshape(len(x), -1)[:, :7]
-    full = c.parts(x[:5]).reshape(5, -1) @ c.words[np.arange(codes.shape[1]), codes].reshape(len(x), -1).T
-    assert np.allclose(c.scan(x[:5], codes), full, atol=1e-4)
-    assert back.shape == x.shape
+    home = c.home(x)
+    codes = c.encode(x, home)
+    got = A.scan(c.tables(x[:5]), np.arange(5), A.paired(codes)) + x[:5] @ c.centres[home].T
+    assert np.allclose(got, x[:5] @ c.decoded(codes, home).T, atol=1e-4)
+
+
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_recall_without_looking_everywhere(spark, clusters):
+    """Rows without any clusters are the hardest case; the probe is learnt on rows that took no part in fitting."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(12_000, 24))
+    if clusters:
+        x = rng.normal(size=(clusters, 24))[rng.integers(0, clusters, len(x))] + 0.3 * x
+    x = x.astype(np.float32).astype(float)
+    ids = np.arange(len(x))
+    c = A.fit(x[:6000], 700, 2, 4.0)
+    c.probe = A.depth(c, x[6000:6500], x[6000:9000], 5, 0.93)
+    size = np.bincount(c.home(x), minlength=700)
+    share = size[c.order(x[:200])[:, : c.probe]].sum(axis=1).mean() / len(x)
+    assert share < (0.12 if clusters else 0.6)
+    got = {(r["query_id"], r["vec_id"]) for r in A.search(frame(spark, ids, x), every=200).collect()}
+    want = brute(ids, x, 200, 20)
+    assert len(got) == len(want)
+    assert sum((q, v) in got for q, _, v, _ in want) >= 0.9 * len(want)
+
+
+def test_equal_vectors_have_equal_scores_wherever_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(A, "ROWS", 50)
+    monkeypatch.setattr(A, "QUERIES", 7)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 9)).astype(np.float32).astype(float)
+    x[::3] = x[0]  # a third of all rows are one vector
+    ids = rng.permutation(600)
+    got = A.search(frame(spark, ids, x)).collect()
+    own = {int(i): row for i, row in zip(ids, x, strict=True)}
+    hot = {i for i in own if (own[i] == x[0]).all()}
+    for q in {r["query_id"] for r in got}:
+        mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        assert len(mine) == 20 and [r["rank"] for r in mine] == list(range(1, 21))
+        assert [(-r["score"], r["vec_id"]) for r in mine] == sorted((-r["score"], r["vec_id"]) for r in mine)
+        if q in hot:
+            assert len({r["score"] for r in mine if r["vec_id"] in hot}) == 1
+            assert [r["vec_id"] for r in mine] == sorted(hot - {q})[:20]
