@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import saved
 from .text import arrow_words, split_batch
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
@@ -58,7 +59,8 @@ class Cnn:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         flat, counts = arrow_words(texts)
-        n = len(counts)
+        if not len(counts):
+            return np.zeros(0)
         lead = np.maximum(counts, 1)  # an empty text is one padding word
         coded = bare(flat).dictionary_encode()
         vectors = np.zeros((len(coded.dictionary) + 1, self.table.shape[1]), np.float32)
@@ -79,7 +81,7 @@ class Cnn:
                 conv += (vectors @ w[k])[ids[k : k + total]]
             pooled.append(np.maximum(np.maximum.reduceat(conv, edges, axis=0)[::2] + b, 0))
         z = np.concatenate(pooled, axis=1).astype(np.float64) @ self.out + self.out_bias
-        return np.where(n, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def train(docs: list[np.ndarray], labels: np.ndarray, *, epochs: int | None = None, rate: float = 0.15, seed: int = 3, buckets: int = BUCKETS) -> Cnn:
@@ -171,14 +173,17 @@ def fit(
     lang_col: str | None = "lang",
     label_col: str = "toxic",
     sample: int = 5_000,
+    sample_bytes: int = 64 << 20,
     least_positives: int = 30,
 ) -> Cnn:
     """Train on at most about ``sample`` labelled documents, a third of them toxic where there are enough.
 
-    The sample is drawn by a hash of the id, at a rate set by the label counts.
-    Only word hashes of the sampled texts (whole ones) come to the driver.  A
-    third is held back for the thresholds; a language with fewer than
-    ``least_positives`` toxic documents there shares the common threshold.
+    The sample is drawn by a hash of the id, at a rate set by the label counts; of
+    rows that share an id one is taken.  Only word hashes of the sampled texts
+    (whole ones, 12 bytes a word) come to the driver, ``sample_bytes`` of them at
+    most: in the order of the hash, documents that would pass it are left out of
+    the sample.  A third is held back for the thresholds; a language with fewer
+    than ``least_positives`` toxic documents there shares the common threshold.
     """
     known = labels.select(F.col(id_col), F.col(label_col).cast("double").alias("y")).filter(F.col(id_col).isNotNull() & F.col("y").isNotNull())
     known = known.filter(learnable(F.col(id_col))).groupBy(id_col).agg(F.max("y").alias("y"))
@@ -191,10 +196,14 @@ def fit(
     picked = known.filter(draw < rate).select(F.col(id_col).alias("__lf_id"), "y")
     lang = F.col(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
     # the draw bounds the sample, whatever the input, so ids go to the texts and not texts to the ids
-    rows = docs.select(F.col(id_col).alias("__lf_id"), F.col(text_col).alias("text"), lang.alias("lang")).join(F.broadcast(picked), "__lf_id").select("__lf_id", "text", "lang", "y")
+    rows = docs.select(F.col(id_col).alias("__lf_id"), F.col(text_col).alias("text"), lang.alias("lang")).join(F.broadcast(picked), "__lf_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "lang", "y"))
+    rows = rows.groupBy("__lf_id").agg(one.alias("r")).select("__lf_id", "r.text", "r.lang", "r.y")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             flat, counts = arrow_words(batch.column("text"))
             coded = bare(flat).dictionary_encode()
             ids = word_rows(coded.dictionary).astype(np.int32)[coded.indices.to_numpy()] if len(flat) else np.zeros((0, 3), np.int32)
@@ -203,7 +212,14 @@ def fit(
             yield pa.RecordBatch.from_arrays([batch.column("__lf_id"), pa.array(blobs, pa.binary()), batch.column("lang"), batch.column("y")], ["id", "ids", "lang", "y"])
 
     id_type = rows.schema["__lf_id"].dataType.simpleString()
-    got = rows.mapInArrow(hashed, f"id {id_type}, ids binary, lang string, y double").collect()
+    drawn = saved(rows.mapInArrow(hashed, f"id {id_type}, ids binary, lang string, y double"), "toxic-sample")
+    room, chosen = sample_bytes, []
+    for name, size in sorted(drawn.select("id", F.octet_length("ids")).collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]))):
+        if size <= room:
+            room -= size
+            chosen.append((name,))
+    within = docs.sparkSession.createDataFrame(chosen, f"id {id_type}")
+    got = drawn.join(F.broadcast(within), "id").collect()
     got.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), bytes(r["ids"])))
     texts = [np.frombuffer(bytes(r["ids"]), np.int32).reshape(-1, 3).astype(np.int64) for r in got]
     y = np.array([float(r["y"] > 0) for r in got])

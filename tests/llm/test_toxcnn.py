@@ -1,4 +1,7 @@
+import math
 import random
+import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -42,16 +45,84 @@ def test_learns_and_leaves_clean_texts_alone(spark):
     assert len({r["score"] for r in got if not r["text"]}) == 1
 
 
-def test_batch_scores_match_one_by_one():
+def plain_score(model, text, buckets):
+    """One word, filter and place at a time."""
+    words = [w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") or w for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
+    vectors = []
+    for w in words:
+        rows = [1 + zlib.crc32(w.encode()) % (buckets - 1), 1 + zlib.crc32(w.encode(), 0x5BD1E995) % (buckets - 1), 1 + zlib.crc32(w[:4].encode(), 0x1B873593) % (buckets - 1)]
+        vectors.append([sum(float(model.table[r][d]) for r in rows) for d in range(C.DIM)])
+    vectors = (vectors or [[0.0] * C.DIM]) + [[0.0] * C.DIM] * 2
+    z, at = model.out_bias, 0
+    for w, b in zip(model.filters, model.bias, strict=True):
+        for f in range(C.FILTERS):
+            places = [sum(vectors[i + k][d] * float(w[k][d][f]) for k in range(len(w)) for d in range(C.DIM)) for i in range(len(vectors) - 2)]
+            z += max(max(places) + float(b[f]), 0.0) * float(model.out[at])
+            at += 1
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_against_a_plain_convolution():
     rng = np.random.default_rng(0)
     docs = [rng.integers(1, 1000, (n, 3)) for n in (0, 1, 5, 30, 2)]
     model = C.train(docs, np.array([0, 1, 0, 1, 0.0]), epochs=2, buckets=1 << 12)
-    texts = ["", None, "a", "a b", "Word, word! x y z " * 9, "..."]
+    texts = ["", None, "a", "a b", "Word, word! x y z " * 9, "...", "\u00c9lan (\u00fcber)\n\nx"]
     got = model.scores(pa.array(["pad"] * 3 + texts).slice(3))
     for t, s in zip(texts, got, strict=True):
-        flat, _ = C.arrow_words(pa.array([t]))
-        rows = C.word_rows(C.bare(flat), 1 << 12) if len(flat) else np.zeros((0, 3), np.int64)
-        assert s == pytest.approx(C._score_rows(model, rows), abs=1e-5)
+        assert s == pytest.approx(plain_score(model, t, 1 << 12), abs=1e-5)
+    assert len(model.scores(pa.array([], pa.string()))) == 0
+
+
+def test_a_step_follows_the_gradient():
+    """One step of Adagrad from the start moves each value by rate g / sqrt(0.01 + g * g) for its gradient g."""
+    doc, rate = np.array([[3, 5, 7], [11, 13, 17], [19, 23, 29], [31, 37, 41]]), 0.1
+    start = C.train([], np.zeros(0), epochs=1, buckets=64)
+    after = C.train([doc], np.array([1.0]), epochs=1, rate=rate, buckets=64)
+
+    def loss(model):
+        return -math.log(C._score_rows(model, doc))
+
+    weight = 0.5  # a sample of one label
+    tried = 0
+    for name in ("filters", "bias", "out"):
+        values, ends = getattr(start, name), getattr(after, name)
+        for v, e in zip(values, ends, strict=True) if name != "out" else [(values, ends)]:
+            for spot in np.ndindex(v.shape):
+                old, eps = v[spot], 1e-3
+                v[spot] = old + eps
+                up = loss(start)
+                v[spot] = old - eps
+                down = loss(start)
+                v[spot] = old
+                g = weight * (up - down) / (2 * eps)
+                assert e[spot] - old == pytest.approx(-rate * g / math.sqrt(0.01 + g * g), abs=2e-3), (name, spot)
+                tried += abs(g) > 1e-3
+    assert tried > 50
+    moved = np.flatnonzero(np.abs(after.table - start.table).sum(axis=1))
+    assert len(moved) and set(moved) <= set(doc.ravel().tolist())
+    for r in moved:  # downhill
+        g = []
+        for d in range(C.DIM):
+            old = start.table[r, d]
+            start.table[r, d] = old + 1e-3
+            up = loss(start)
+            start.table[r, d] = old - 1e-3
+            g.append((up - loss(start)) / 2e-3)
+            start.table[r, d] = old
+        assert np.dot(after.table[r] - start.table[r], g) < 0
+
+
+def test_sample_is_bounded_when_ids_repeat_or_texts_are_long(spark, monkeypatch):
+    seen = []
+    train = C.train
+    monkeypatch.setattr(C, "train", lambda docs, y, **o: seen.append(docs) or train(docs, y, **o))
+    rows, labels = corpus(60)
+    hot = next(i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5)
+    rows += [(hot, rows[hot][1], "en", "s", "c")] * 3000 + [(70, "word1 " * 50_000, "en", "s", "c"), (71, "word2 grrbad", "en", "s", "c")]
+    labels += [(70, 1, 0), (71, 1, 1)]
+    C.fit(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), sample_bytes=300_000)
+    assert 20 < len(seen[0]) < 62
+    assert sum(len(d) for d in seen[0]) * 12 <= 300_000
 
 
 def test_threshold_has_the_best_f1():
