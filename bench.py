@@ -59,9 +59,10 @@ def main() -> None:
         times[name] = timed(native)
         times[f"{name}_python"] = timed(python)
         speedup[name] = round(times[f"{name}_python"] / max(times[name], 1e-9), 2)
-    times["clean_email"] = timed(docs.withColumn("text", X.email_column(F.col("text"))))
+    times["clean_email"] = timed(with_columns(docs, {"text": X.EMAIL("text")}))
     times["fix_unicode"] = timed(docs.withColumn("text", X.nfc_column(F.col("text"))))
-    for name in ("text_pipeline", "tpch_q6_udf", "groupby_agg", "join_chain", "join_semi", "dedup_text", "emb_sum", "dict_reuse"):
+    times["text_pipeline"] = timed(X.clean_pipeline(docs))  # the file is one row group, so one task; here on the partitioned frame
+    for name in ("tpch_q6_udf", "groupby_agg", "join_chain", "join_semi", "dedup_text", "emb_sum", "dict_reuse"):
         times[name] = timed(catalog.QUERIES[name](spark, SF))
     value = round(sum(t for n, t in times.items() if not n.endswith("_python")), 3)
     print(json.dumps({"metric": "headline queries, native form", "value": value, "unit": "sec", "queries": times, "speedup": speedup, "sf": os.path.basename(SF.rstrip("/"))}))

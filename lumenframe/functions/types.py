@@ -27,7 +27,7 @@ _ATOMS = {
 
 
 def spark_type(name: str | T.DataType) -> T.DataType:
-    """Type of a name; atoms and arrays of them need no session, other DDL does."""
+    """Type of a name; atoms, and arrays and flat structs of them, need no session, other DDL does."""
     if isinstance(name, T.DataType):
         return name
     low = canonical(name)
@@ -35,6 +35,9 @@ def spark_type(name: str | T.DataType) -> T.DataType:
         return _ATOMS[low]
     if low.startswith("array<") and low.endswith(">"):
         return T.ArrayType(spark_type(low[6:-1]))
+    if low.startswith("struct<") and low.endswith(">") and "<" not in low[7:]:
+        pairs = [f.partition(":") for f in name.strip()[7:-1].split(",")]
+        return T.StructType([T.StructField(n.strip(), spark_type(t)) for n, _, t in pairs])
     return T._parse_datatype_string(name)
 
 
@@ -57,3 +60,19 @@ def kind_of(t: T.DataType) -> tuple[str, bool] | None:
         if inner and inner[0] in ("int", "float", "str"):
             return f"list[{inner[0]}]", inner[1]
     return None
+
+
+def row_kind(t: T.DataType) -> tuple | None:
+    """Kind of a struct as an input: ("row", ((field, (kind, Spark type name, fits a double)), ...)); fields of other kinds are left out."""
+    if not isinstance(t, T.StructType):
+        return None
+    found = [(f.name, kind_of(f.dataType)) for f in t.fields]
+    return "row", tuple((n, (k[0], SPARK[k[0]].simpleString(), k == ("int", False))) for n, k in found if k)
+
+
+def tuple_kind(t: T.DataType) -> str | None:
+    """Kind of a struct as a result: ``row(kind,...)``."""
+    if not isinstance(t, T.StructType):
+        return None
+    kinds = [kind_of(f.dataType) for f in t.fields]
+    return f"row({','.join(k[0] for k in kinds)})" if kinds and all(k and "[" not in k[0] for k in kinds) else None

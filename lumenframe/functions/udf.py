@@ -19,10 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.capture import capture
+from ..plans.capture import PYTHON_REGION, capture
 from ..plans.policy import Policy, from_session
 from ..plans.source import NotLowerable
-from .types import SPARK, kind_of, spark_type
+from .types import SPARK, kind_of, row_kind, spark_type, tuple_kind
 
 STAGES = ("adapter", "policy", "layout", "capture", "lower", "execute")
 
@@ -32,7 +32,7 @@ class Decision:
     """Why a call runs the way it does.  Holds names and reason codes, never values."""
 
     name: str
-    route: str  # native, dictionary, arrow or row
+    route: str  # native, region (native but for one call), dictionary, arrow or row
     stage: str
     reason: str
     operators: tuple = ()
@@ -90,10 +90,12 @@ class LowerableUdf:
         if self.on_error != "raise":
             return self._fallback("adapter", "on_error", cols, policy)
         fields = df.select(*cols).schema.fields if cols else []
-        kinds = [kind_of(f.dataType) for f in fields]
+        rows = [row_kind(f.dataType) for f in fields]
+        kinds = [kind_of(f.dataType) or (r and (r, True)) for f, r in zip(fields, rows, strict=True)]
         if not kinds or None in kinds:
             return self._fallback("layout", "input_type", cols, policy)
-        out = kind_of(self.return_type)
+        struct = tuple_kind(self.return_type)
+        out = (struct, False) if struct else kind_of(self.return_type)
         if out is None:
             return self._fallback("layout", "return_type", cols, policy)
         if spark.conf.get("spark.sql.ansi.enabled", "true").lower() != "true":
@@ -109,10 +111,11 @@ class LowerableUdf:
             return Decision(self.name, self._route(), "policy", "mode_observe", found.operators), column
         wide = [c.cast(SPARK[k]) if not exact else c for c, (k, exact) in zip(cols, kinds, strict=True)]
         column = found.column(*wide)
-        if not out[1] or self.return_type != SPARK[out[0]]:
+        if struct or not out[1] or self.return_type != SPARK[out[0]]:
             column = column.cast(self.return_type)  # narrow numbers: ANSI raises beyond the range
         column = self._guard(column, cols, fields, found)
-        return Decision(self.name, "native", "lower", "proven", found.operators), column.alias(self.name)
+        route = "region" if PYTHON_REGION in found.operators else "native"
+        return Decision(self.name, route, "lower", "proven", found.operators), column.alias(self.name)
 
     def bind(self, df: DataFrame, *columns) -> Column:
         return self.plan(df, *columns)[1]

@@ -7,6 +7,7 @@ agrees with the Python function it stands for, whatever Unicode version the JVM
 from __future__ import annotations
 
 import sys
+import unicodedata
 from functools import cache
 
 PROPERTIES = ("isalnum", "isalpha", "isdecimal", "isdigit", "isnumeric", "isspace")
@@ -64,31 +65,50 @@ def tiered(prop: str) -> str:
 @cache
 def ascii_others(prop: str) -> str:
     """The ASCII characters without the property, NUL aside."""
-    return "".join(chr(c) for a, b in _gaps(_own(prop, 0, 0x80), 0x80) for c in range(max(a, 1), b + 1))
+    test = getattr(str, prop)
+    return "".join(chr(c) for c in range(1, 0x80) if not test(chr(c)))
 
 
 @cache
-def cut_wide_others(prop: str) -> str:
-    """Pattern of one character beyond ASCII without the property.
+def wide_own(prop: str) -> str:
+    """Pattern of one character beyond ASCII with the property.
 
     Matched character by character: the JVM recurses for a repeated alternative,
     and would run out of stack on long runs.
     """
     parts, low = [], 0x80
     for high in TIERS[1:]:
-        own = _own(prop, low, high)
-        parts.append(f"(?={_tier(low, high)})[^{body(own)}]" if own else _tier(low, high))
+        if own := _own(prop, low, high):
+            parts.append(f"(?={_tier(low, high)})[{body(own)}]")
         low = high
-    return f"(?=[^\\x{{0}}-\\x{{7f}}])(?:{'|'.join(parts)})"
+    return f"(?:{'|'.join(parts)})"
 
 
-def _gaps(spans: list[tuple[int, int]], end: int) -> list[tuple[int, int]]:
-    out, at = [], 0
-    for a, b in spans:
-        if a > at:
-            out.append((at, a - 1))
-        at = b + 1
-    return out + ([(at, end - 1)] if at < end else [])
+@cache
+def case_table(method: str) -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """``str.lower`` or ``str.upper`` of single characters: from, to, and the pairs whose result is longer."""
+    src, dst, longer = [], [], []
+    for c in range(sys.maxunicode + 1):
+        if not 0xD800 <= c <= 0xDFFF and (put := getattr(chr(c), method)()) != chr(c):
+            if len(put) == 1:
+                src.append(chr(c))
+                dst.append(put)
+            else:
+                longer.append((chr(c), put))
+    return "".join(src), "".join(dst), tuple(longer)
+
+
+@cache
+def unassigned() -> str:
+    """Class of the code points that the interpreter's tables do not know."""
+    spans: list[tuple[int, int]] = []
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(c)) == "Cn":
+            if spans and spans[-1][1] == c - 1:
+                spans[-1] = (spans[-1][0], c)
+            else:
+                spans.append((c, c))
+    return f"[{body(spans)}]"
 
 
 def members(chars) -> str:
@@ -99,3 +119,5 @@ def members(chars) -> str:
 SPACES = "".join(chr(c) for a, b in ranges("isspace") for c in range(a, b + 1))
 SPACE = char_class("isspace")
 NOT_SPACE = char_class("isspace", negated=True)
+#: ASCII space characters other than the blank.
+ASCII_SPACE = f"[{body([(a, min(b, 0x1F)) for a, b in _own('isspace', 0, 0x80)])}]"

@@ -18,21 +18,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.udf import LowerableUdf
+from ..plans import patterns as P
 from .relational import drop_duplicates, settle, where, with_columns
 
 TAG_RE = re.compile(r"<[^>]+>")
-LINK_RE = re.compile(r"https?://\S+|www\.\S+", re.IGNORECASE)
-COPYRIGHT_RE = re.compile(r"(?i)(copyright\s*\(?c\)?|©|\(c\)|all rights reserved)[^\n.]*\.?")
+LINK_RE = re.compile(P.LINKS, re.IGNORECASE)
+COPYRIGHT_RE = re.compile(P.COPYRIGHT)
 SPACE_RE = re.compile(r"\s+")
-EMAIL_RE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
-SENTENCE_RE = re.compile(r"(?<=[.!?])\s+")
+EMAIL_RE = re.compile(P.EMAIL)
+SENTENCE_RE = re.compile(P.SENTENCE_END)
+# The six punctuation marks, and the characters that whitespace normalisation turns into a blank each.
 PUNCTUATION = {"“": '"', "”": '"', "‘": "'", "’": "'", "–": "-", "—": "-"}
-#: Characters that official whitespace normalisation turns into a blank each.
 BLANKS = frozenset("\t             ​  　﻿")
-PROFILE = {
-    "en": re.compile(r"[a-zA-Z]"), "zh": re.compile(r"[一-鿿]"), "ja": re.compile(r"[぀-ゟ゠-ヿ]"),
-    "ko": re.compile(r"[가-힯]"), "ar": re.compile(r"[؀-ۿ]"), "ru": re.compile(r"[Ѐ-ӿ]"),
-}
+PROFILE = dict(zip(("en", "zh", "ja", "ko", "ar", "ru"), map(re.compile, P.PROFILES), strict=True))
 
 
 def clean_html(text: str) -> str:
@@ -79,17 +77,10 @@ def alphanumeric(text: str, least: float = 0.2) -> bool:
 
 
 def language_score(text: str, lang: str = "en", least: float = 0.1) -> bool:
-    """Share of the characters of the strongest profile; ties go to the first profile."""
-    if not text.strip():
-        return False
-    size = len(text)
-    share = {}
-    for name, chars in PROFILE.items():
-        share[name] = len(chars.findall(text)) / size
-    top = max(share, key=lambda k: share[k])
-    if top not in [lang]:
-        return False
-    return share[top] >= least
+    """Whether ``lang`` has the profile with the most characters (the first such), and enough of them."""
+    found = {name: len(chars.findall(text)) for name, chars in PROFILE.items()}
+    best = max(found, key=found.get)
+    return text.strip() != "" and best == lang and found[best] / len(text) >= least
 
 
 def split_chunks(text: str) -> str:
@@ -118,11 +109,6 @@ MAPPERS = {
 }
 
 
-def email_column(col: Column) -> Column:
-    """Native form of ``clean_email``: ASCII classes and a bounded repeat mean the same to the JVM."""
-    return F.regexp_replace(col, EMAIL_RE.pattern, "")
-
-
 def nfc_column(col: Column) -> Column:
     """``fix_unicode`` for batches; ASCII batches pass untouched."""
     import pyarrow.compute as pc
@@ -161,10 +147,10 @@ def clean_pipeline(df: DataFrame, column: str = "text", *, low: int = 5, high: i
     from functools import partial
 
     out = df
-    for mapper in ("clean_html_mapper", "clean_links_mapper"):
-        out = map_text(out, mapper, column)
-    out = out.withColumn(column, email_column(F.col(column)))
-    for mapper in ("clean_copyright_mapper", "punctuation_normalization_mapper", "whitespace_normalization_mapper"):
+    for mapper in (
+        "clean_html_mapper", "clean_links_mapper", "clean_email_mapper", "clean_copyright_mapper",
+        "punctuation_normalization_mapper", "whitespace_normalization_mapper",
+    ):
         out = map_text(out, mapper, column)
     out = settle(out, column)
     for fn in (partial(text_length, low=low, high=high), partial(alphanumeric, least=least_alnum), partial(language_score, lang=lang, least=least_score)):

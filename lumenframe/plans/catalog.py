@@ -208,7 +208,7 @@ def clean_copyright(spark, d):
 
 @query("SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '', 'g') AS text FROM documents")
 def clean_email(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.email_column(F.col("text")).alias("text"))
+    return R.with_columns(table(spark, d, "documents").select("doc_id", "text"), {"text": X.EMAIL("text")})
 
 
 @query("SELECT doc_id, length(text) > 0 AND 10 * len(regexp_extract_all(text, '[a-zA-Z]')) >= length(text) AND trim(text) <> '' AS english FROM documents")
@@ -284,22 +284,42 @@ def ad_sensor_align(spark, d):
     return out.select("c_custkey", "aligned")
 
 
-@query()
+@query("""
+WITH logged AS (
+  SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'no json' WHEN 1 THEN props ELSE '{"path": "/logs/' || (event_id % 300) || '.bin"}' END AS payload, event_id % 5 > 1 AS named
+  FROM events
+), listing AS (SELECT '/logs/' || p_partkey || '.bin' AS file, p_size AS bytes FROM part WHERE p_partkey % 2 = 0)
+SELECT event_id, '{"file":' || CASE WHEN named THEN '"/logs/' || (event_id % 300) || '.bin"' ELSE 'null' END
+  || ',"json":' || CASE WHEN event_id % 5 = 0 THEN 'false' ELSE 'true' END || ',"bytes":' || coalesce(CAST(bytes AS VARCHAR), 'null') || '}' AS matched
+FROM logged LEFT JOIN listing ON named AND file = '/logs/' || (event_id % 300) || '.bin'
+""")
 def ad_index(spark, d):
-    return R.select(table(spark, d, "events"), "event_id", record=drive.INDEX("props"))
+    kind, file = F.col("event_id") % 5, F.concat(F.lit("/logs/"), (F.col("event_id") % 300).cast("string"), F.lit(".bin"))
+    logged = F.when(kind == 0, F.lit("no json")).when(kind == 1, F.col("props")).otherwise(F.concat(F.lit('{"path": "'), file, F.lit('"}')))
+    listing = table(spark, d, "part").filter("p_partkey % 2 = 0").select(F.concat(F.lit("/logs/"), F.col("p_partkey").cast("string"), F.lit(".bin")).alias("file"), F.col("p_size").alias("bytes"))
+    return drive.match_files(table(spark, d, "events").withColumn("payload", logged), "payload", listing).select("event_id", "matched")
 
 
-@query()
+@query("SELECT doc_id, nfc_normalize(text) AS text FROM documents")
 def fix_unicode(spark, d):
     return table(spark, d, "documents").select("doc_id", X.nfc_column(F.col("text")).alias("text"))
 
 
-@query()
+@query("""
+WITH d AS (SELECT doc_id, text, row_number() OVER () AS r FROM documents WHERE text IS NOT NULL),
+chars AS (SELECT r, c, count(*) AS n FROM (SELECT r, unnest(regexp_extract_all(text, '(?s).')) AS c FROM d) GROUP BY r, c),
+size AS (SELECT r, sum(n) AS total FROM chars GROUP BY r),
+score AS (SELECT r, pow(2, -sum(n / total * log2(n / total))) AS p FROM chars JOIN size USING (r) GROUP BY r)
+SELECT doc_id FROM d LEFT JOIN score USING (r) WHERE coalesce(p, 1) <= 17.77
+""")
 def perplexity_filter(spark, d):
-    return X.perplexity_filter(table(spark, d, "documents"), "text", 1_000_000.0)
+    return X.perplexity_filter(table(spark, d, "documents"), "text", 17.77).select("doc_id")
 
 
-@query()
+@query(f"""
+SELECT doc_id, coalesce(array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '([.!?]){WS}+', '\\1' || chr(1), 'g'), chr(1)),
+  lambda x: regexp_replace(x, '^{WS}+|{WS}+$', '', 'g')), lambda x: x <> ''), chr(10) || chr(10)), '') AS text FROM documents
+""")
 def text_chunk(spark, d):
     return R.select(table(spark, d, "documents"), "doc_id", text=X.CHUNKS("text"))
 
@@ -326,7 +346,16 @@ def text_pipeline(spark, d):
     return X.clean_pipeline(table(spark, d, "documents").select("text"))
 
 
-@query()
+@query("""
+SELECT * FROM (VALUES
+  ('clean_html', 'native', 'proven', 'regex'), ('clean_links', 'native', 'proven', 'links'), ('clean_email', 'native', 'proven', 'email'),
+  ('clean_copyright', 'native', 'proven', 'copyright'), ('fix_unicode', 'arrow', 'call', ''), ('normalize_punctuation', 'native', 'proven', 'translate'),
+  ('normalize_whitespace', 'native', 'proven', 'whitespace,strip'), ('replace_blanks', 'native', 'proven', 'strip,join_translate,translate'),
+  ('split_chunks', 'native', 'proven', 'sentences,strip,join'), ('text_length', 'native', 'proven', 'len,compare.le'),
+  ('alphanumeric', 'native', 'proven', 'unicode.isalnum,count,len,binary.truediv,compare.ge,select'),
+  ('language_score', 'native', 'proven', 'findall,argmax,strip,compare.ne,len,binary.truediv,compare.ge')
+) AS t(name, route, reason, operators)
+""")
 def explain_calls(spark, d):
     docs = table(spark, d, "documents")
     rows = explain_udf(docs, *(u("text") for u in X.MAPPERS.values()), X.LENGTH("text"), X.ALNUM("text"), X.LANGUAGE("text"))
@@ -359,9 +388,9 @@ def join_semi(spark, d):
     return R.join(table(spark, d, "customer").select("c_custkey"), big, "c_custkey", "semi")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def join_anti(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = table(spark, d, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
     return R.join(table(spark, d, "customer").select("c_custkey"), o, "c_custkey", "anti")
 
 
@@ -372,10 +401,10 @@ def join_left(spark, d):
 
 def _keys(spark, d):
     c = table(spark, d, "customer").select(F.col("c_nationkey").alias("k"))
-    return c, table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
+    return c, table(spark, d, "supplier").filter("s_suppkey <= 8").select(F.col("s_nationkey").alias("k"))
 
 
-_C, _S = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey AS k FROM supplier"
+_C, _S = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey AS k FROM supplier WHERE s_suppkey <= 8"
 
 
 @query(f"{_C} UNION {_S}")
@@ -453,26 +482,26 @@ def agg_stddev(spark, d):
     return R.stddev(table(spark, d, "orders"), "o_totalprice").select(F.round("o_totalprice", 3).alias("o_totalprice"))
 
 
-@query("SELECT len(list(n_name)) AS n, list_sort(list(n_name))[1] AS head FROM nation")
+@query("SELECT array_to_string(list_sort(list(c_mktsegment)), ',') AS segments FROM customer")
 def agg_list(spark, d):
-    out = R.agg_list(table(spark, d, "nation"), "n_name")
-    return out.select(F.size("n_name").cast("long").alias("n"), F.array_sort("n_name")[0].alias("head"))
+    out = R.agg_list(table(spark, d, "customer"), "c_mktsegment")
+    return out.select(F.array_join(F.array_sort("c_mktsegment"), ",").alias("segments"))
 
 
-@query("SELECT count(DISTINCT c_mktsegment) AS n FROM customer")
+@query("SELECT array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS segments FROM customer")
 def agg_set(spark, d):
-    return R.agg_set(table(spark, d, "customer"), "c_mktsegment").select(F.size("c_mktsegment").cast("long").alias("n"))
+    return R.agg_set(table(spark, d, "customer"), "c_mktsegment").select(F.array_join(F.array_sort("c_mktsegment"), ",").alias("segments"))
 
 
-@query("SELECT sum(length(n_name)) AS n FROM nation")
+@query("SELECT array_to_string(list_sort(regexp_extract_all(string_agg(n_name, ''), '.')), '') AS letters FROM nation")
 def agg_concat(spark, d):
-    return R.agg_concat(table(spark, d, "nation"), "n_name").select(F.length("n_name").cast("long").alias("n"))
+    out = R.agg_concat(table(spark, d, "nation"), "n_name")
+    return out.select(F.array_join(F.array_sort(F.split("n_name", "")), "").alias("letters"))
 
 
-@query("SELECT count(*) > 0 AS found FROM nation")
+@query("SELECT any_value(n_name) AS n_name FROM nation WHERE n_nationkey = 7")
 def agg_any_value(spark, d):
-    n = table(spark, d, "nation")
-    return R.any_value(n, "n_name").join(n, "n_name", "left_semi").agg((F.count("*") > 0).alias("found"))
+    return R.any_value(table(spark, d, "nation").filter("n_nationkey = 7"), "n_name")
 
 
 @query("SELECT count(*) AS n, max(o_totalprice) AS top FROM orders")
@@ -557,11 +586,106 @@ def rows_sample(spark, d):
     return R.sample(table(spark, d, "orders"), 0.1, seed=7)
 
 
-@query()
+@query("""
+SELECT column_name, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(column_type) END AS type, true AS nullable
+FROM (DESCRIBE SELECT * FROM nation)
+""")
 def frame_describe(spark, d):
-    return R.describe(table(spark, d, "orders"))
+    return R.describe(table(spark, d, "nation"))
 
 
-@query()
+def _summary(name: str, kind: str) -> str:
+    return f"SELECT '{name}' AS column_name, '{kind}' AS type, CAST(min({name}) AS VARCHAR) AS min, CAST(max({name}) AS VARCHAR) AS max, count({name}) AS count, count(*) - count({name}) AS nulls FROM nation"
+
+
+@query(" UNION ALL ".join(_summary(n, k) for n, k in (("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int"))))
 def frame_summarize(spark, d):
-    return R.summarize(table(spark, d, "orders"))
+    return R.summarize(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")).drop("approx_distinct")
+
+
+# ---- more of what is captured
+
+
+PRIORITY = {"1-URGENT": 1, "2-HIGH": 2}
+
+
+@lowerable("string")
+def shouted(text, lang):
+    return f"{lang.upper()}: {text.lower().removeprefix('the ')}"
+
+
+@lowerable("double")
+def clamped(v):
+    return max(10.0, min(v, 1000.0))
+
+
+@lowerable("bigint")
+def priority(name):
+    return PRIORITY.get(name, 0)
+
+
+@lowerable("array<double>")
+def range_of(v):
+    return [v, v * 2.0]
+
+
+@lowerable("struct<name:string,total:double,large:boolean>")
+def summary_of(name, v):
+    return name, v, v > 1000.0
+
+
+@lowerable("double")
+def field_sum(row):
+    return row["price"] * 2.0 if row.late else row["price"]
+
+
+@lowerable("string")
+def initials(text):
+    return "".join(w.upper() for w in text.split(" ") if w != "")
+
+
+def _checksum(text: str) -> int:
+    return sum(ord(c) for c in text)  # stays Python
+
+
+@lowerable("bigint")
+def tagged(name):
+    return _checksum(name.replace("#", "")) * 2
+
+
+@query("SELECT doc_id, upper(lang) || ': ' || regexp_replace(lower(text), '^the ', '') AS said FROM documents WHERE lang IS NOT NULL")
+def capture_case(spark, d):
+    return R.select(table(spark, d, "documents").filter("lang is not null"), "doc_id", said=shouted("text", "lang"))
+
+
+@query("SELECT o_orderkey, least(greatest(o_totalprice, 10), 1000) AS price FROM orders")
+def capture_extremes(spark, d):
+    return R.select(table(spark, d, "orders"), "o_orderkey", price=clamped("o_totalprice"))
+
+
+@query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 0 END AS priority FROM orders")
+def capture_lookup_default(spark, d):
+    return R.select(table(spark, d, "orders"), "o_orderkey", priority=priority("o_orderpriority"))
+
+
+@query("SELECT c_custkey, c_acctbal AS low, c_acctbal * 2 AS high, c_name AS name, c_acctbal AS total, c_acctbal > 1000 AS large FROM customer")
+def capture_results(spark, d):
+    out = R.select(table(spark, d, "customer"), "c_custkey", pair=range_of("c_acctbal"), told=summary_of("c_name", "c_acctbal"))
+    return out.select("c_custkey", F.col("pair")[0].alias("low"), F.col("pair")[1].alias("high"), "told.*")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_shipdate > TIMESTAMP '1997-01-01' THEN l_extendedprice * 2 ELSE l_extendedprice END AS price FROM lineitem")
+def capture_struct(spark, d):
+    li = table(spark, d, "lineitem")
+    row = F.struct(F.col("l_extendedprice").alias("price"), (F.col("l_shipdate") > F.lit("1997-01-01").cast("timestamp")).alias("late"))
+    return R.select(li.withColumn("row", row), "l_orderkey", "l_linenumber", price=field_sum("row"))
+
+
+@query("SELECT p_partkey, upper(replace(p_type, ' ', '')) AS letters FROM part")
+def capture_split_join(spark, d):
+    return R.select(table(spark, d, "part"), "p_partkey", letters=initials("p_type"))
+
+
+@query("SELECT c_custkey, CAST(2 * list_sum(list_transform(regexp_extract_all(replace(c_name, '#', ''), '.'), lambda x: ascii(x))) AS BIGINT) AS tag FROM customer")
+def capture_region(spark, d):
+    return R.select(table(spark, d, "customer"), "c_custkey", tag=tagged("c_name"))

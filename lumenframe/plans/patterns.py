@@ -17,9 +17,11 @@ from ..functions import unicode_sets as U
 from .policy import Policy
 from .source import NotLowerable
 
-# The two patterns and the six profile classes that are qualified.
+# The patterns and the six profile classes that are qualified.
 LINKS = r"https?://\S+|www\.\S+"
 COPYRIGHT = r"(?i)(copyright\s*\(?c\)?|©|\(c\)|all rights reserved)[^\n.]*\.?"
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+SENTENCE_END = r"(?<=[.!?])\s+"
 PROFILES = {
     "[a-zA-Z]": "[a-zA-Z]",
     "[\u4e00-\u9fff]": "[\\x{4e00}-\\x{9fff}]",
@@ -79,6 +81,31 @@ def common(pattern: str) -> bool:
     return not inside and bool(pattern)
 
 
+def ascii_only(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once a row, also under conditions, where Catalyst would repeat it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def blank_runs(c: Column) -> Column:
+    """Runs of space characters as one blank: by table each as a blank, then runs of that, where a literal search finds any."""
+    flat = F.translate(c, U.SPACES, " " * len(U.SPACES))
+    return let(flat, lambda x: F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " {2,}", " ")).otherwise(x))
+
+
+def mails(c: Column, lit: str) -> Column:
+    """Few texts hold the sign without which the pattern can't match; ASCII classes and a bounded repeat mean the same to the JVM."""
+    return F.when(F.contains(c, F.lit("@")), F.regexp_replace(c, EMAIL, lit)).otherwise(c)
+
+
+def class_count(c: Column, cls: str) -> Column:
+    """Characters of a class: what a text loses when its runs of them are cut out."""
+    return F.length(c) - F.length(F.regexp_replace(c, f"{cls}+", ""))
+
+
 def lower_sub(pattern: re.Pattern, put: str, policy: Policy) -> tuple[str, Callable[[Column], Column]]:
     """(label, builder) for ``pattern.sub(put, text)``; the replacement is literal."""
     if "\\" in put:
@@ -88,9 +115,8 @@ def lower_sub(pattern: re.Pattern, put: str, policy: Policy) -> tuple[str, Calla
     src, flags = pattern.pattern, int(pattern.flags)
     lit = replacement(put)
     if src == r"\s+" and flags == PLAIN_FLAGS:
-        if len(put) == 1 and put in U.SPACES:
-            # by table to one blank, then runs of that blank: a literal is found faster than a class
-            return "whitespace", lambda c: F.regexp_replace(F.translate(c, U.SPACES, put * len(U.SPACES)), f"\\x{{{ord(put):x}}}{{2,}}", lit)
+        if put == " ":
+            return "whitespace", blank_runs
         return "whitespace", lambda c: F.regexp_replace(c, U.SPACE + "+", lit)
     if src == LINKS and flags == FOLD_FLAGS:
         if "links" not in policy.qualified:
@@ -100,6 +126,10 @@ def lower_sub(pattern: re.Pattern, put: str, policy: Policy) -> tuple[str, Calla
         if "copyright" not in policy.qualified:
             raise NotLowerable("switched_off", "copyright")
         return "copyright", lambda c: F.regexp_replace(c, copyright_pattern(), lit)
+    if src == EMAIL and flags == PLAIN_FLAGS:
+        if "email" not in policy.qualified:
+            raise NotLowerable("switched_off", "email")
+        return "email", lambda c: mails(c, lit)
     if flags != PLAIN_FLAGS:
         raise NotLowerable("pattern_flags")
     if not common(src):
@@ -115,3 +145,20 @@ def single_class(pattern: re.Pattern, policy: Policy) -> str:
     if int(pattern.flags) != PLAIN_FLAGS or spelled not in PROFILES:
         raise NotLowerable("pattern_language")
     return PROFILES[spelled]
+
+
+def splitter(pattern: re.Pattern, policy: Policy) -> tuple[str, Callable[[Column], Column]]:
+    """(label, builder) for ``pattern.split(text)`` of a qualified pattern."""
+    if pattern.pattern == SENTENCE_END and int(pattern.flags) == PLAIN_FLAGS:
+        if "sentences" not in policy.qualified:
+            raise NotLowerable("switched_off", "sentences")
+
+        def at_ends(c: Column) -> Column:
+            # a mark put in the place of the spaces, so that no position has to look back; unless the mark is taken
+            mark = "\uffff"
+            narrow, wide = (F.regexp_replace(c, f"([.!?]){s}+", f"$1{mark}") for s in (f"[ {U.ASCII_SPACE[1:]}", U.SPACE))
+            marked = F.split(F.when(ascii_only(c), narrow).otherwise(wide), mark)
+            return F.when(F.contains(c, F.lit(mark)), F.split(c, f"(?<=[.!?]){U.SPACE}+")).otherwise(marked)
+
+        return "sentences", at_ends
+    raise NotLowerable("pattern_language")

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 MODES = ("off", "observe", "auto")
 #: Patterns proven one by one; each has its own switch.
-QUALIFIED = ("links", "copyright", "language_id")
+QUALIFIED = ("links", "copyright", "email", "sentences", "language_id")
 
 
 @dataclass(frozen=True)
@@ -22,6 +22,7 @@ class Policy:
     max_depth: int = 8
     max_table: int = 256
     dictionary_capacity: int = 16_384
+    regions: bool = True  # one opaque call may stay Python inside a lowered function
 
     def __post_init__(self):
         if self.mode not in MODES:
@@ -38,6 +39,7 @@ class Policy:
         low = lambda name: min(getattr(self, name), getattr(other, name))
         return replace(
             self, mode=min(self.mode, other.mode, key=MODES.index), disabled=self.disabled or other.disabled, qualified=self.qualified & other.qualified,
+            regions=self.regions and other.regions,
             **{n: low(n) for n in ("max_nodes", "max_depth", "max_table", "dictionary_capacity")},
         )
 
@@ -48,4 +50,4 @@ def from_session(spark: SparkSession | None, base: Policy = Policy()) -> Policy:
         return base
     get = lambda k, d: spark.conf.get(f"spark.lumenframe.{k}", d)
     on = frozenset(q for q in QUALIFIED if get(q, "true").lower() == "true")
-    return base.tighten(replace(base, mode=get("mode", base.mode), disabled=get("disabled", "false").lower() == "true", qualified=on))
+    return base.tighten(replace(base, mode=get("mode", base.mode), disabled=get("disabled", "false").lower() == "true", qualified=on, regions=get("regions", "true").lower() == "true"))

@@ -132,3 +132,101 @@ def loop_if(t):
         if c.isdigit():
             hits += 1
     return hits / len(t) >= 0.5
+
+
+SENTENCES = re.compile(r"(?<=[.!?])\s+")
+GRADES = {"a": 1, "b": 2}
+NAMES = {1: "one", 2: "two"}
+
+
+def uppered(t):
+    return t.upper()
+
+
+def chunks(t):
+    return " | ".join(p.strip() for p in SENTENCES.split(t) if p.strip())
+
+
+def fields_joined(t):
+    return "-".join(x for x in t.split(",") if x != "" and x != "b")
+
+
+def rejoined(t):
+    return "+".join(t.split("a"))
+
+
+def counted(t):
+    return t.count("aa") * 100 + t.find("a")
+
+
+def trimmed(t):
+    return t.removeprefix("pre").removesuffix("x")
+
+
+def clamp(v):
+    return max(0.0, min(v, 10.0))
+
+
+def largest(a, b):
+    return max(a, b, 3)
+
+
+def grade_or(t):
+    return GRADES.get(t, -1)
+
+
+def name_or_none(n):
+    return NAMES.get(n)
+
+
+def labelled(t, n):
+    return f"{t}={n}!"
+
+
+def pair(v):
+    return [v, v * 2]
+
+
+def triple(t, n):
+    return t, n, n > 1
+
+
+def of_record(r):
+    return r["ratio"] * 2.0 if r.flag else float(r["small"])
+
+
+def letters_of(t):
+    return sum(1 for c in t if c not in "abc")
+
+
+def secret_code(t: str, salt: str = "") -> str:
+    LOG.append(1)
+    return "%s/%d" % (salt, len(t.encode()))
+
+
+def sandwich(t):
+    key = t.strip().replace("a", "b")
+    code = secret_code(key, "s")
+    return code + "!" + code.lower()
+
+
+def in_a_branch(t):
+    if len(t) > 2:
+        return secret_code(t)
+    return t
+
+
+def untyped(t):
+    return _untyped(t) + "x"
+
+
+def _untyped(t):
+    return "%s" % t
+
+
+def wrong_type(t):
+    return _wrong(t) + 1
+
+
+def _wrong(t) -> int:
+    return "%s" % t

@@ -1,3 +1,4 @@
+import json
 import math
 
 import pytest
@@ -51,12 +52,18 @@ def test_sinks(spark, df, tmp_path):
     assert io.read_parquet(spark, str(tmp_path / "none"), df.schema).count() == 0
 
 
-def test_index_record(tmp_path):
-    f = tmp_path / "a"
-    f.write_text("x")
-    assert '"available"' in drive.index_record('{"path": "%s"}' % f)
-    assert '"missing"' in drive.index_record("not json")
-    assert '"missing"' in drive.index_record("[1]")
+def test_files_are_matched_by_listing(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "a.bin").write_bytes(b"12345")
+    listing = drive.file_listing(spark, str(tmp_path))
+    here = str(tmp_path / "deep" / "a.bin")
+    assert [tuple(r) for r in listing.collect()] == [(here, 5)]
+    rows = [(1, f'{{"path": "{here}"}}'), (2, '{"path": "/none"}'), (3, "{broken"), (4, None), (5, "[1]")]
+    got = {r["i"]: r["matched"] and json.loads(r["matched"]) for r in drive.match_files(spark.createDataFrame(rows, "i int, p string"), "p", listing).collect()}
+    assert got == {
+        1: {"file": here, "json": True, "bytes": 5}, 2: {"file": "/none", "json": True, "bytes": None},
+        3: {"file": None, "json": False, "bytes": None}, 4: None, 5: {"file": None, "json": True, "bytes": None},
+    }
 
 
 def test_reuse_rule():
