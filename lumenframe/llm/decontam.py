@@ -255,5 +255,5 @@ def without_leaks(
     """
     found = _found(docs, benchmark, id_col=id_col, text_col=text_col, item_col=item_col, similarity=similarity, radius=radius, k=k)
     bad = saved(found.select(*DOC).distinct(), "leaking")
-    marked = docs.select("*", *row_key(F.col(id_col), F.col(text_col)))
-    return marked.join(_sent(bad), DOC, "left_anti").drop(*DOC)
+    marked = docs.select(F.struct("*").alias("row"), *row_key(F.col(id_col), F.col(text_col)))
+    return marked.join(_sent(bad), DOC, "left_anti").select("row.*")

@@ -21,13 +21,13 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .graph import components
 from .store import saved
 from .text import arrow_words, split_batch
 
 FAN = 16
+BROADCAST_ROWS = 1_000_000
 TILE = 32_768
 PIECE = 1 << 17
 CHUNK = 512
@@ -379,6 +379,11 @@ def joined(sets: list[np.ndarray], label: np.ndarray, similarity: float) -> list
     return out
 
 
+def _sent(table: DataFrame) -> DataFrame:
+    """The table as the small side of a join: broadcast if it has few enough rows."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
 def _verified(tiled: DataFrame, k: int, similarity: float) -> DataFrame:
     """(a, b): links between similar texts in each tile (``root``, ``i``, ``j``) of (``node``, ``label``, ``text``)."""
     key = ["root", "i", "j"]
@@ -418,9 +423,9 @@ def similar(named: DataFrame, pairs: DataFrame, texts: DataFrame, k: int, simila
     apart from its largest part, chunks of the rest meet each other and those of
     the largest part in tiles.
     """
-    sizes = named.groupBy("root").agg(F.count("*").alias("n"))
-    sized = saved(named.join(sizes, "root"), "sized")
-    large = sized.filter(F.col("n") > CHUNK).select("node", "root")
+    big = _sent(named.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > CHUNK).select("root", F.lit(True).alias("big")))
+    sized = saved(named.join(big, "root", "left"), "sized")
+    large = sized.filter("big").select("node", "root")
     ahead = pairs.groupBy("a").agg(F.min("b").alias("b")).join(large.select(F.col("node").alias("a")), "a", "left_semi")
     both = ahead.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"
@@ -436,13 +441,13 @@ def similar(named: DataFrame, pairs: DataFrame, texts: DataFrame, k: int, simila
     labelled = saved(large.join(parts, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     counts = labelled.groupBy("root", "label").agg(F.count("*").alias("n"))
     main = counts.groupBy("root").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
-    main = main.select("root", F.col("m.label").alias("main"), F.ceil(F.col("m.n") / CHUNK).cast("int").alias("p"), F.ceil((F.col("all") - F.col("m.n")) / CHUNK).cast("int").alias("q"))
-    split = labelled.join(main, "root").withColumn("own", F.col("label") == F.col("main"))
+    main = saved(main.select("root", F.col("m.label").alias("main"), F.ceil(F.col("m.n") / CHUNK).cast("int").alias("p"), F.ceil((F.col("all") - F.col("m.n")) / CHUNK).cast("int").alias("q")), "main")
+    split = labelled.join(_sent(main), "root").withColumn("own", F.col("label") == F.col("main"))
     at = F.when(F.col("own"), F.col("q") + F.pmod(F.xxhash64("node"), "p")).otherwise(F.pmod(F.xxhash64("node"), "q")).cast("int")
     meets = F.sequence(F.lit(0), F.when(F.col("own"), F.col("q") - 1).otherwise(F.col("p") + F.col("q") - 1))
     split = split.withColumn("at", at).withColumn("with", F.explode(meets))
     split = split.select("root", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "node", "label")
-    whole = sized.filter(F.col("n") <= CHUNK).select("root", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", F.col("node").alias("label"))
+    whole = sized.filter("big is null").select("root", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", F.col("node").alias("label"))
     tiled = whole.unionByName(split).join(texts, "node").select("root", "i", "j", "node", "label", "text")
     return sure.union(_verified(tiled, k, similarity))
 
@@ -467,7 +472,9 @@ def representatives(
     over however many links, are compared (see ``similar``).
 
     Nulls: a null text is an empty one, and all empty texts are copies; null ids
-    lose to others.  Of repeated rows one stays.  Very long texts are read whole.
+    lose to others.  Of repeated rows one stays, and of rows that share an id the
+    one whose text has the least hash.  Very long texts are read whole.  Columns may
+    have any names, those of steps in between too.  An empty table stays empty.
     """
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -476,13 +483,16 @@ def representatives(
                 keys = batch_keys(part.column("text")).view(np.int64)
                 found = batch_bands(part.column("text"), k, bands, rows).view(np.int64)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), bands).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(keys), lists], ["key", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("raw"), pa.array(keys), lists], ["id", "raw", "node", "bands"])
 
+    # A row is named by its id and a hash of its text; a node is a word sequence.
     id_type = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    marks = saved(slim.mapInArrow(banded, f"key {id_type}, node long, bands array<long>"), "prints")
-    items = saved(marks.groupBy("node").agg(F.min("key").alias("low"), F.first("bands").alias("bands")), "items")
-    # Equal texts have equal keys and are one node.  A band key that several nodes have links them to the least.
+    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("raw"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    marks = saved(slim.mapInArrow(banded, f"id {id_type}, raw long, node long, bands array<long>"), "bands")
+    # Equal texts have equal keys and are one node; null ids lose to others.
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "raw"))
+    items = saved(marks.groupBy("node").agg(least.alias("low"), F.first("bands").alias("bands")), "items")
+    # A band key that several nodes have links them to the least.
     keyed_bands = items.select("node", F.explode("bands").alias("band"))
     buckets = keyed_bands.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("top")).filter("b != top")
     pairs = keyed_bands.join(buckets.select("band", "b"), "band").filter("node != b").select(F.col("node").alias("a"), "b").distinct()
@@ -490,37 +500,26 @@ def representatives(
 
     named = saved(components(pairs), "named")
 
-    # Texts of the candidates: one copy each, found by its id and key.
-    ends = named.join(items, "node").select("node", "low")
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in split_batch(batch, "text"):
-                keys = batch_keys(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(keys.view(np.int64)), part.column("text")], ["key", "node", "text"])
+    def same_row(left: DataFrame, right: DataFrame) -> Column:
+        return left["id"].eqNullSafe(right["id"]) & (left["raw"] == right["raw"])
 
-    ids = ends.select("low").distinct()
-    same_id = slim.join(ids, slim["key"].eqNullSafe(ids["low"]), "left_semi")
-    texts = same_id.mapInArrow(keyed, f"key {id_type}, node long, text string").join(ends, "node", "left_semi").dropDuplicates(["node"]).select("node", "text")
+    # Texts of the candidates: one copy each.
+    ends = saved(named.join(items, "node").select("node", "low.id", "low.raw"), "ends")
+    sent = _sent(ends)
+    texts = slim.join(sent, same_row(slim, sent)).groupBy("node").agg(F.min("text").alias("text"))
     texts = saved(texts, "texts")
 
     found = components(similar(named, pairs, texts, k, similarity))
     rooted = items.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # null ids lose; of equal least ids the least key wins
-    winner = rooted.groupBy("root").agg(F.min(F.struct(F.col("low").isNull(), "low", "node")).alias("w")).select("w.node", "w.low")
-    won = marks.join(winner, (marks["node"] == winner["node"]) & marks["key"].eqNullSafe(winner["low"])).groupBy(marks["node"], marks["key"]).agg(F.count("*").alias("n"))
-    won = saved(won, "winners")
-
-    names = docs.columns
-
-    def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in split_batch(batch, text_col):
-                keys = batch_keys(part.column(text_col))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys.view(np.int64))], [*names, "__lf_node"])
-
-    full = docs.mapInArrow(tagged, T.StructType([*docs.schema.fields, T.StructField("__lf_node", T.LongType())]))
-    on = (F.col("__lf_node") == F.col("w.node")) & F.col(id_col).eqNullSafe(F.col("w.key"))
-    once = full.join(won.filter("n = 1").alias("w"), on, "left_semi").drop("__lf_node")
-    more = full.join(won.filter("n > 1").alias("w"), on, "left_semi").dropDuplicates(["__lf_node"]).drop("__lf_node")
-    return once.unionByName(more)
+    winner = rooted.groupBy("root").agg(F.min("low").alias("low")).select("low.id", "low.raw", F.lit(True).alias("won"))
+    # all but the winners go, and of a winner's repeated rows all but one
+    kinds = marks.groupBy("id", "raw").agg(F.count("*").alias("n"))
+    judged = kinds.join(winner, same_row(kinds, winner), "left").select(kinds["id"], kinds["raw"], "n", "won")
+    rest = saved(judged.filter("won is null or n > 1"), "losers")
+    more = _sent(rest.filter("won"))
+    rest = _sent(rest)
+
+    full = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("raw"))
+    once = full.join(rest, same_row(full, rest), "left_anti")
+    again = full.join(more, same_row(full, more), "left_semi").dropDuplicates(["id", "raw"])
+    return once.unionByName(again).select("row.*")

@@ -198,7 +198,7 @@ def mix(
     pattern = F.array_sort(F.array_distinct(F.col(sources_col).cast("array<string>"))) if sources_col else F.array(F.col(source_col).cast("string"))
     tick = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     keyed = docs.select(
-        "*",
+        F.struct("*").alias("row"),
         word_count(F.col(text_col)).alias("size"),
         F.coalesce(pattern, none).alias("__lf_p"),
         F.shiftrightunsigned(tick, 64 - BITS * LEVELS).alias("__lf_h"),
@@ -249,7 +249,7 @@ def mix(
     passes = F.col("__lf_full") + F.when(F.col("__lf_more"), 1).otherwise(0)
     out = out.withColumn("passes", F.when(F.col("size") > 0, passes).otherwise(0).cast("int"))
     out = out.withColumn("taken", (F.col("size") * F.col("passes")).cast("long"))
-    return out.select(*docs.columns, "size", "source_size", "target", "taken", "passes")
+    return out.select("row.*", "size", "source_size", "target", "taken", "passes")
 
 
 def _narrowed(keyed: DataFrame) -> DataFrame:
