@@ -68,7 +68,7 @@ def arrow_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarr
     return flat, counts
 
 
-def split_batch(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20):
+def split_batch(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20):
     """Cut a batch into pieces whose texts have about ``most_bytes`` together; a longer text stands alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
