@@ -1,7 +1,8 @@
 """Site-relative line frequency: drop lines that stand on too large a part of a site's pages.
 
-Built-in expressions only.  Lines travel as 96-bit keys; texts are shuffled
-once, and only if the lists of lines to drop are too large to broadcast.
+Built-in expressions only.  Lines travel as 96-bit keys.  While the lines to drop
+are few they are broadcast by host; beyond that texts are shuffled once, to meet
+the lists of their own lines.
 """
 
 from __future__ import annotations
@@ -9,9 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import saved
 from .text import ascii_lower, row_key
 
 BLANKS = " \t\r"
+#: Bounds within which the lines to drop are broadcast: of one host, and of all.
+HOST_LINES, BROADCAST_LINES = 256, 500_000
 
 
 def url_host(url: Column) -> Column:
@@ -52,21 +56,27 @@ def drop_boilerplate(
     Nulls: rows without a host are kept as they are, for they have no site; a
     null text stays null with 0 lines.  An empty text has one (blank) line.
     Repeated rows are pages of their own and count as such.  A page whose lines
-    all go keeps an empty text.  Line order is kept.  Clashing ``n_lines`` and
-    ``n_dropped`` are replaced.
+    all go keeps an empty text.  Line order is kept.  Very long texts are read
+    whole.  Clashing ``n_lines`` and ``n_dropped`` are replaced.
     """
     host = F.col(host) if isinstance(host, str) else host
     pages = pages.drop("n_lines", "n_dropped")
     text = F.col(text_col)
-    bad = boilerplate(pages, host, text, max_ratio, min_pages).select("__lf_host", "__lf_line")
-    key = row_key(host, text)
-    # Equal texts on one host lose the same lines, so lists are kept once for each such text.
-    full = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    held = pages.filter(host.isNotNull()).select(
-        host.alias("__lf_host"), *key, F.explode(F.array_distinct(F.transform(full, _line_key))).alias("__lf_line")
-    )
-    lists = held.join(bad, ["__lf_host", "__lf_line"]).groupBy("__lf_k1", "__lf_k2").agg(F.collect_set("__lf_line").alias("__lf_drop"))
-    out = pages.select("*", *key).join(lists, ["__lf_k1", "__lf_k2"], "left")
+    bad = saved(boilerplate(pages, host, text, max_ratio, min_pages).select("__lf_host", "__lf_line"), "boilerplate")
+    by_host = bad.groupBy("__lf_host").agg(F.collect_set("__lf_line").alias("__lf_drop"))
+    size = bad.groupBy("__lf_host").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    row = pages.select(F.struct("*").alias("row"), text.alias("__lf_text"), host.alias("__lf_host"))
+    text = F.col("__lf_text")
+    if (size[0] or 0) <= HOST_LINES and (size[1] or 0) <= BROADCAST_LINES:
+        # few lines on any host: they go to the pages
+        out = row.join(F.broadcast(by_host), "__lf_host", "left")
+    else:
+        key = row_key(F.col("__lf_host"), text)
+        # Equal texts on one host lose the same lines, so lists are kept once for each such text.
+        full = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
+        held = row.filter("__lf_host is not null").select("__lf_host", *key, F.explode(F.array_distinct(F.transform(full, _line_key))).alias("__lf_line"))
+        lists = held.join(bad, ["__lf_host", "__lf_line"]).groupBy("__lf_k1", "__lf_k2").agg(F.collect_set("__lf_line").alias("__lf_drop"))
+        out = row.select("*", *key).join(lists, ["__lf_k1", "__lf_k2"], "left")
     lines = F.split(text, "\n")
     kept = F.when(F.col("__lf_drop").isNull(), lines).otherwise(
         F.filter(lines, lambda x: (F.btrim(x, F.lit(BLANKS)) == "") | ~F.array_contains("__lf_drop", _line_key(x)))
@@ -75,7 +85,7 @@ def drop_boilerplate(
     cleaned = F.when(F.col("__lf_drop").isNull(), text).otherwise(F.array_join("__lf_kept", "\n"))
     n = F.coalesce(F.size(lines), F.lit(0))
     n_kept = F.coalesce(F.size("__lf_kept"), F.lit(0))
-    columns = [cleaned.alias(c) if c == text_col else F.col(c) for c in pages.columns]
+    columns = [cleaned.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in pages.columns]
     return out.select(
         *columns,
         F.when(text.isNull(), 0).otherwise(n).cast("long").alias("n_lines"),

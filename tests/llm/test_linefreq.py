@@ -1,8 +1,11 @@
 from collections import Counter, defaultdict
 
-from lumenframe.llm.linefreq import drop_boilerplate, url_host
+import pytest
 from pyspark.sql import functions as F
 
+from lumenframe.llm import linefreq
+from lumenframe.llm.linefreq import drop_boilerplate, url_host
+
 SCHEMA = "doc_id bigint, text string, source string, n_lines string"
 
 
@@ -33,7 +36,9 @@ def rows():
     return out
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("host_lines", [256, 0])  # broadcast by host, or joined by text
+def test_against_brute_force(spark, monkeypatch, host_lines):
+    monkeypatch.setattr(linefreq, "HOST_LINES", host_lines)
     for ratio, least in ((0.1, 10), (0.3, 2), (0.0, 1), (0.9, 3)):
         got = drop_boilerplate(spark.createDataFrame(rows(), SCHEMA), max_ratio=ratio, min_pages=least)
         assert got.columns == ["doc_id", "text", "source", "n_lines", "n_dropped"]
