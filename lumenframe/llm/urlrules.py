@@ -14,6 +14,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import saved
 from .text import ascii_lower
 
 #: The production rules: (host, path, verdict).
@@ -92,10 +93,10 @@ def mine(labelled: DataFrame, min_support: float, min_confidence: float, min_lif
     marked = F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens"))
     model = FPGrowth(itemsCol="items", minSupport=float(support), minConfidence=float(min_confidence)).fit(labelled.select(marked.alias("items")))
     rules = model.associationRules.filter((F.col("consequent")[0] == BAD) & (F.col("lift") >= min_lift))
-    rules = rules.select(
+    rules = saved(rules.select(
         F.array_sort("antecedent").alias("antecedent"), "confidence", "lift", "support",
         F.xxhash64(F.array_join(F.array_sort("antecedent"), "\x01")).alias("rule_id"),
-    )
+    ), "url-rules")
     rarest = (
         rules.select("rule_id", F.explode("antecedent").alias("token")).join(frequent, "token")
         .groupBy("rule_id").agg(F.min(F.struct("n", "token"))["token"].alias("token"))
@@ -125,7 +126,10 @@ def judge(
     host tokens, and is allowed unless a rule mined from such urls fires; a null
     label or id teaches nothing.  Rows that repeat get the same verdict each;
     an id with several labels teaches once for each.  No labels: no mined rule.
-    Clashing names among the added columns are replaced.
+    Of several rules that fire the one of the largest confidence is named, then of
+    the largest support, then the last by its tokens.  Very long urls are read
+    whole, all of their tokens.  Clashing names among the added columns are
+    replaced.  An empty table gives an empty result.
     """
     added = ["host", "path", "rule", "verdict", "mined", "confidence"]
     pages = pages.drop(*added)
