@@ -219,18 +219,22 @@ def fit(
             room -= size
             chosen.append((name,))
     within = docs.sparkSession.createDataFrame(chosen, f"id {id_type}")
-    got = drawn.join(F.broadcast(within), "id").collect()
-    got.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), bytes(r["ids"])))
-    texts = [np.frombuffer(bytes(r["ids"]), np.int32).reshape(-1, 3).astype(np.int64) for r in got]
-    y = np.array([float(r["y"] > 0) for r in got])
-    back = np.arange(len(got)) % 3 == 2
+    got = drawn.join(F.broadcast(within), "id").select("id", "lang", "y", "ids").toArrow().combine_chunks()
+    names = got.column("id").to_pylist()
+    order = sorted(range(len(names)), key=lambda i: (zlib.crc32(str(names[i]).encode()), str(names[i])))
+    # views of the one buffer that came, without a copy a text
+    blobs, langs = got.column("ids"), got.column("lang").to_pylist()
+    texts = [np.frombuffer(blobs[i].as_buffer() or b"", np.int32).reshape(-1, 3) for i in order]
+    langs = [langs[i] for i in order]
+    y = (got.column("y").to_numpy()[order] > 0).astype(float) if order else np.zeros(0)
+    back = np.arange(len(order)) % 3 == 2
     model = train([t for t, b in zip(texts, back, strict=True) if not b], y[~back])
     held = np.flatnonzero(back)
     if len(held) and 0 < y[held].sum() < len(held):
         scores = np.array([_score_rows(model, texts[i]) for i in held])
         model.default_threshold = best_threshold(scores, y[held])
-        for name in sorted({r["lang"] for r in got if r["lang"] is not None}):
-            own = np.array([got[i]["lang"] == name for i in held])
+        for name in sorted({x for x in langs if x is not None}):
+            own = np.array([langs[i] == name for i in held])
             if y[held][own].sum() >= least_positives and (1 - y[held][own]).sum() >= least_positives:
                 model.thresholds[name] = best_threshold(scores[own], y[held][own])
     return model
