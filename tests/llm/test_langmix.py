@@ -1,6 +1,11 @@
+import math
 import random
+import re
+import zlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from lumenframe.llm import langmix as L
 
@@ -37,9 +42,63 @@ def test_nothing_to_learn(spark):
 
 
 def test_grams_stay_inside_words():
-    import pyarrow as pa
-
     g1, o1 = L.grams(pa.array(["ab", "c"]))
     g2, _ = L.grams(pa.array(["ab"]))
     assert sorted(g1[o1 == 0]) == sorted(g2)
     assert len(np.unique(o1)) == 2
+
+
+def plain(model, text):
+    """One document by scalar arithmetic: word likelihoods, EM, and the penalised choice of a set."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    k = len(model.langs)
+    like = []
+    for w in words:
+        b = f" {w} ".encode()
+        ll = [0.0] * k
+        for n in L.ORDERS:
+            for i in range(len(b) - n + 1):
+                h = 0x811C9DC5 + n
+                for x in b[i : i + n]:
+                    h = (h ^ x) * 0x01000193 % 2**32
+                slot = (h ^ (h >> 15)) % L.SLOTS + (n - 1) * L.SLOTS
+                ll = [v + float(model.table[slot, j]) / len(L.ORDERS) for j, v in enumerate(ll)]
+        like.append([math.exp(max(v - max(ll), -50)) for v in ll])
+
+    def em(p, rounds):
+        for _ in range(rounds):
+            new = [0.0] * k
+            for row in like:
+                whole = sum(a * b for a, b in zip(row, p))
+                new = [s + a * b / whole for s, a, b in zip(new, row, p)]
+            p = [s / len(like) for s in new]
+        return p
+
+    p = em([1 / k] * k, model.rounds)
+    order = sorted(range(k), key=lambda j: -p[j])
+    best, chosen = None, None
+    for m in range(1, k + 1):
+        q = [p[j] + 1e-6 if j in order[:m] else 0.0 for j in range(k)]
+        q = [x / sum(q) for x in q]
+        value = sum(math.log(max(sum(a * b for a, b in zip(row, q)), 1e-30)) for row in like) - model.penalty * (m - 1) * math.log(len(like) + 1)
+        if best is None or value > best:
+            best, chosen = value, q
+    return em(chosen, 2)
+
+
+def test_inference_against_plain_em():
+    rng = np.random.default_rng(5)
+    table = np.log(rng.dirichlet(np.full(50, 0.3), size=3).T[rng.integers(0, 50, len(L.ORDERS) * L.SLOTS)] + 1e-4).astype(np.float32)
+    model = L.Mixture(["aa", "bb", "cc"], table, 2.0, 8)
+    texts = ["Ka ta MA", "x", "é ille oux " * 5, "".join(chr(97 + rng.integers(0, 6)) + (" " if i % 4 == 3 else "") for i in range(400))]
+    props, counts = model.infer(pa.array(["pad pad", *texts]).slice(1))
+    for row, n, t in zip(props, counts, texts, strict=True):
+        assert n == len(t.split())
+        assert row.tolist() == pytest.approx(plain(model, t), abs=2e-3)
+
+
+def test_ties_go_to_the_first_language(spark):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2][:80]  # all are learnt from, so both languages are alike
+    rows = [(i, "ka ta ma na ka ta", lang, "s", "c") for i, lang in zip(ids, ["bb", "aa"] * 40, strict=True)]
+    got = L.identify(spark.createDataFrame(rows, SCHEMA)).select("lang_pred").distinct().collect()
+    assert [r[0] for r in got] == ["aa"]

@@ -160,3 +160,10 @@ def test_more_patterns_than_the_recipe_holds(spark, monkeypatch):
     assert len(got) == 400
     assert sum(r["taken"] for r in got) == pytest.approx(600, abs=30)
     assert all(r["passes"] == 0 for r in got if r["sources"] == [])
+
+
+def test_texts_stay_where_they_are(spark):
+    rows = [(i, "w " * (i % 9), "hot" if i % 3 else "b", "x", 0) for i in range(500)]
+    plan = mix(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    assert "Exchange hashpartitioning" not in plan
