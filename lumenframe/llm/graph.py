@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import saved
+from .store import dropped, saved
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,7 +30,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); the root is the least node reachable.
 
     Links between a node and itself, and nulls, count for nothing.  Each round is
-    written to the shared folder; the rounds end when the links no longer change.
+    written to the shared folder and takes the place of the one before; the rounds
+    end when the links no longer change.
     """
     now = saved(edges.select("a", "b").filter("a != b").distinct(), "links")
     seen = None
@@ -38,8 +39,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             break
-        seen = mark
+        seen, before = mark, now
         now = saved(_star(_star(now, large=True), large=False), "links")
+        dropped(before)
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(

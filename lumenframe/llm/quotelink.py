@@ -13,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import saved
+from .store import dropped, saved
 from .text import ascii_lower
 
 BLOCK = 512
+CROWD = 1024
+BROADCAST_ROWS = 1_000_000
 MARK = r"^(?:[ \t]*>)+"
 #: Lines that announce a quotation; they go with it.
 ANNOUNCES = r"(?i)^\s*(?:on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$"
@@ -83,8 +85,13 @@ def link(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.array(F.struct(_hash(F.col("whole")).alias("h"), F.lit(True).alias("full"))),
         F.transform(one, lambda h: F.struct(h.alias("h"), F.lit(False).alias("full"))),
     ))).alias("u")).select("mid", "conv_id", "turn", "run", "level", "u.h", "u.full").filter("h is not null")
-    said = runs.filter("level = 0").select("mid", "conv_id", "turn", F.explode(F.array_distinct(F.concat(F.array(_hash(F.col("whole"))), one))).alias("h"))
-    whole = own.select("mid", "conv_id", "turn", _hash(normal(F.array_join("lines", " "))).alias("h"))
+    # only conversations that quote are looked through for origins
+    quoted = saved(quoted, "quoted")
+    asking = quoted.select("conv_id").distinct()
+    if asking.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        asking = F.broadcast(asking)
+    said = runs.filter("level = 0").join(asking, "conv_id", "left_semi").select("mid", "conv_id", "turn", F.explode(F.array_distinct(F.concat(F.array(_hash(F.col("whole"))), one))).alias("h"))
+    whole = own.join(asking, "conv_id", "left_semi").select("mid", "conv_id", "turn", _hash(normal(F.array_join("lines", " "))).alias("h"))
     origins = said.unionByName(whole).filter("h is not null").groupBy("conv_id", "h", "turn").agg(F.min("mid").alias("mid"))
     # only what is quoted somewhere in the conversation can be an origin
     origins = origins.join(quoted.select("conv_id", "h").distinct(), ["conv_id", "h"], "left_semi")
@@ -97,10 +104,27 @@ def link(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return best.select("mid", "run", "level", F.col("b.found").alias("found")), texts
 
 
+def _blocked(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``block``: blocks of turns, and where one turn holds very many children of a parent, of turns and leading digits of ``mid``."""
+    n = nodes.withColumn("b", F.floor(F.col("turn") / BLOCK))
+    key = ["conv_id", "parent", "b"]
+    crowds = n.groupBy(*key, "turn").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD)
+    crowds = saved(crowds.withColumn("k", F.ceil(F.log(16.0, F.col("n") / CROWD)).cast("int")).drop("n"), "crowds")
+    rows = crowds.count()
+    if not rows:
+        return n.withColumn("block", F.struct("b", F.lit(0).cast("long").alias("t"), F.lit("").alias("m")))
+    fine = crowds.select(*key).distinct().withColumn("fine", F.lit(True))
+    if rows <= BROADCAST_ROWS:
+        crowds, fine = F.broadcast(crowds), F.broadcast(fine)
+    n = n.join(fine, key, "left").join(crowds, [*key, "turn"], "left")
+    turn = F.when(F.col("fine"), F.col("turn")).otherwise(0)
+    digits = F.when(F.col("k").isNotNull(), F.expr("substring(mid, 1, k)")).otherwise("")
+    return n.withColumn("block", F.struct("b", turn.alias("t"), digits.alias("m"))).drop("k", "fine")
+
+
 def _next_sibling(nodes: DataFrame) -> DataFrame:
-    """(mid, next): the next child of the same parent by turn, block by block."""
-    block = F.floor(F.col("turn") / BLOCK)
-    n = nodes.withColumn("block", block).withColumn("me", F.struct("turn", "mid"))
+    """(mid, next): the next child of the same parent by turn and ``mid``, block by block."""
+    n = saved(_blocked(nodes).select("conv_id", "parent", "block", "mid", F.struct("turn", "mid").alias("me")), "siblings")
     inside = Window.partitionBy("conv_id", "parent", "block").orderBy("me")
     first = n.groupBy("conv_id", "parent", "block").agg(F.min("me").alias("low"))
     over = Window.partitionBy("conv_id", "parent").orderBy("block")
@@ -136,7 +160,9 @@ def reply_order(nodes: DataFrame) -> DataFrame:
         moved = now.filter("to is not null").join(ahead, "to").select(
             "e", F.col("to2").alias("to"), (F.col("downs") + F.col("d2")).alias("downs"), (F.col("ups") + F.col("u2")).alias("ups")
         )
+        before = now
         now = saved(now.filter("to is null").unionByName(moved), "tour")
+        dropped(before)
     ranked = now.filter(F.col("e").endswith("d")).select(F.expr("substring(e, 1, 32)").alias("mid"), "downs", (F.col("ups") - F.col("downs")).cast("int").alias("depth"))
     total = nodes.groupBy("conv_id").agg(F.count("*").alias("n"))
     return nodes.select("mid", "conv_id").join(total, "conv_id").join(ranked, "mid").select("mid", (F.col("n") - F.col("downs") + 1).alias("position"), "depth")
@@ -164,7 +190,9 @@ def conversations(
     Nulls: a message without a conversation or turn stands alone at position 1; a
     null text is an empty one.  Equal rows are one message with ``copies``.
     Different messages of one turn are ordered by a hash of their content, and
-    never reply to each other.  Texts of any length are parsed whole.
+    never reply to each other, however many there are.  Texts of any length are
+    parsed whole.  Other columns are not looked at, whatever their names.  An empty
+    table gives an empty result.
     """
     base = messages.select(
         F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"),

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -127,3 +128,19 @@ def test_edges(spark):
     assert [r["position"] for r in got if r["conv_id"] is None or r["turn"] is None] == [1, 1]
     assert Q.conversations(spark.createDataFrame([], SCHEMA)).count() == 0
     assert F is not None
+
+
+def test_one_turn_with_very_many_messages(spark, monkeypatch):
+    monkeypatch.setattr(Q, "CROWD", 40)
+    rows = [(1, 3, "u", f"hello {i}") for i in range(3000)] + [(1, 1, "u", "first"), (1, 2, "a", "second"), (1, 4, "a", "last"), (2, 1, "u", "other")]
+    messages = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = Q.conversations(messages).filter("conv_id = 1").orderBy("position").collect()
+    assert [r["position"] for r in got] == list(range(1, 3004))
+    assert [r["turn"] for r in got[:2]] == [1, 2]
+    assert {(r["parent_turn"], r["depth"]) for r in got if r["turn"] == 3} == {(2, 2)}
+    nodes = spark.createDataFrame([(hashlib.md5(b"%d" % i).hexdigest(), 1, 5, "") for i in range(2000)], "mid string, conv_id bigint, turn bigint, parent string")
+    blocks = Q._blocked(nodes).groupBy("block").count().collect()
+    assert len(blocks) >= 16 and sum(r["count"] for r in blocks) == 2000
+    following = dict(Q._next_sibling(nodes).collect())
+    order = sorted(following)
+    assert [following[m] for m in order] == [*order[1:], None]
