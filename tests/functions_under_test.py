@@ -1,5 +1,6 @@
 """Functions that tests lower, or expect to be refused."""
 
+import json
 import re
 from functools import lru_cache
 
@@ -230,3 +231,20 @@ def wrong_type(t):
 
 def _wrong(t) -> int:
     return "%s" % t
+
+
+CONFIG = '{"blank": "_", "scale": 3}'
+
+
+@lru_cache(maxsize=None)
+def cached_grade(t):
+    return GRADES.get(t, 0) * 2
+
+
+def with_constants(t):
+    put = json.loads(CONFIG)["blank"]
+    return re.sub("[0-9]+", put, re.compile("b+").sub("B", t))
+
+
+def through_cache(t):
+    return cached_grade(t.strip()) + json.loads(CONFIG)["scale"]

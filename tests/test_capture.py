@@ -211,7 +211,7 @@ def test_stream_gives_the_same(spark, tmp_path):
 @pytest.mark.parametrize(
     ("fn", "kind"),
     [(fut.lowered, "string"), (fut.uppered, "string"), (fut.chunks, "string"), (fut.fields_joined, "string"), (fut.rejoined, "string"), (fut.counted, "bigint"),
-     (fut.trimmed, "string"), (fut.grade_or, "bigint"), (fut.letters_of, "bigint")],
+     (fut.with_constants, "string"), (fut.through_cache, "bigint"), (fut.trimmed, "string"), (fut.grade_or, "bigint"), (fut.letters_of, "bigint")],
     ids=lambda x: getattr(x, "__name__", x),
 )
 def test_more_string_functions_are_native_and_exact(spark, fn, kind):
