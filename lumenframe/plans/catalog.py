@@ -649,7 +649,7 @@ def _checksum(text: str) -> int:
 
 
 @lowerable("bigint")
-def tagged(name):
+def checksum_of(name):
     return _checksum(name.replace("#", "")) * 2
 
 
@@ -688,4 +688,4 @@ def capture_split_join(spark, d):
 
 @query("SELECT c_custkey, CAST(2 * list_sum(list_transform(regexp_extract_all(replace(c_name, '#', ''), '.'), lambda x: ascii(x))) AS BIGINT) AS tag FROM customer")
 def capture_region(spark, d):
-    return R.select(table(spark, d, "customer"), "c_custkey", tag=tagged("c_name"))
+    return R.select(table(spark, d, "customer"), "c_custkey", tag=checksum_of("c_name"))
