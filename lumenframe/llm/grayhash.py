@@ -459,17 +459,22 @@ def representatives(
     text_col: str = "text",
     k: int = 5,
     similarity: float = 0.8,
+    radius: int = 6,
+    agree: int = 2,
     bands: int = 32,
     rows: int = 6,
 ) -> DataFrame:
     """One row of each group of near-duplicates, the one with the least id; columns as they are.
 
     Rows with the same words are copies.  Different texts are near-duplicates if
-    their k-word shingles have at least this Jaccard similarity.  Texts that agree
-    in all ``rows`` MinHashes of one of ``bands`` bands are candidates, which at
-    similarity s happens in 1 - (1 - s**rows)**bands of cases: all but one in ten
-    thousand at 0.8, whatever the edits.  All pairs of texts that candidates join,
-    over however many links, are compared (see ``similar``).
+    their k-word shingles have at least this Jaccard similarity.  The Gray index
+    names candidates: texts whose fingerprints of k-word shingles differ in at most
+    ``radius`` bits.  At a similarity of 0.8 many lie further apart, so texts that
+    agree in all ``rows`` MinHashes of one of ``bands`` bands are candidates as
+    well, which at similarity s happens in 1 - (1 - s**rows)**bands of cases: all
+    but one in ten thousand at 0.8, whatever the edits.  All pairs of texts that
+    candidates of both kinds join, over however many links, are compared (see
+    ``similar``).
 
     Nulls: a null text is an empty one, and all empty texts are copies; null ids
     lose to others.  Of repeated rows one stays, and of rows that share an id the
@@ -483,20 +488,25 @@ def representatives(
                 keys = batch_keys(part.column("text")).view(np.int64)
                 found = batch_bands(part.column("text"), k, bands, rows).view(np.int64)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), bands).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("raw"), pa.array(keys), lists], ["id", "raw", "node", "bands"])
+                fp = pa.array(batch_fingerprints(part.column("text"), k).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("raw"), pa.array(keys), fp, lists], ["id", "raw", "node", "fp", "bands"])
 
     # A row is named by its id and a hash of its text; a node is a word sequence.
     id_type = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("raw"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    marks = saved(slim.mapInArrow(banded, f"id {id_type}, raw long, node long, bands array<long>"), "bands")
+    marks = saved(slim.mapInArrow(banded, f"id {id_type}, raw long, node long, fp long, bands array<long>"), "bands")
     # Equal texts have equal keys and are one node; null ids lose to others.
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "raw"))
-    items = saved(marks.groupBy("node").agg(least.alias("low"), F.first("bands").alias("bands")), "items")
+    items = saved(marks.groupBy("node").agg(least.alias("low"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "items")
+    # One node stands for all of a fingerprint in the Gray index.
+    heads = saved(items.groupBy("fp").agg(F.min("node").alias("node"), F.max("node").alias("top")), "heads")
+    shared = items.select("node", "fp").join(heads.filter("node != top").select("fp", F.col("node").alias("b")), "fp")
+    close = links(heads.select("node", "fp"), radius, agree=agree).union(shared.filter("node != b").select("node", "b"))
     # A band key that several nodes have links them to the least.
     keyed_bands = items.select("node", F.explode("bands").alias("band"))
     buckets = keyed_bands.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("top")).filter("b != top")
-    pairs = keyed_bands.join(buckets.select("band", "b"), "band").filter("node != b").select(F.col("node").alias("a"), "b").distinct()
-    pairs = saved(pairs, "pairs")
+    banded_pairs = keyed_bands.join(buckets.select("band", "b"), "band").filter("node != b").select(F.col("node").alias("a"), "b")
+    pairs = saved(close.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(banded_pairs).distinct(), "pairs")
 
     named = saved(components(pairs), "named")
 

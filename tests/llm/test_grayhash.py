@@ -212,3 +212,20 @@ def test_near_copies_without_an_id(spark):
     assert G.representatives(spark.createDataFrame(rows, SCHEMA)).count() == 1
     rows.append((5, " ".join(w), "c", 1, 2))
     assert [r["doc_id"] for r in G.representatives(spark.createDataFrame(rows, SCHEMA)).collect()] == [5]
+
+
+def test_the_gray_index_names_candidates(spark):
+    """Near copies that no MinHash band finds are found by their fingerprints, and a pair that only looks close is refused."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(30):
+        w = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        rows.append((2 * i, " ".join(w)))
+        w[rng.randrange(300)] = "changed"
+        rows.append((2 * i + 1, " ".join(w)))
+    rows += [(100, "one two"), (101, "one two one two"), (102, None), (103, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"] for r in G.representatives(df, bands=1, rows=200).collect()}
+    assert {2 * i for i in range(30)} | {100, 101, 102} <= got and 103 not in got
+    assert len([i for i in got if i < 60]) <= 36
+    assert {r["doc_id"] for r in G.representatives(df).collect()} == {2 * i for i in range(30)} | {100, 101, 102}
