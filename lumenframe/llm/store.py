@@ -15,6 +15,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+HEAP_SHARE = 0.4
 
 _written: list[str] = []
 
@@ -45,6 +46,19 @@ def _freeing_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
+def _tidy(spark: SparkSession) -> None:
+    """Collect the driver's garbage once it fills a share of the heap's limit.
+
+    Plans of finished jobs and broadcast tables that nothing reads any more are
+    garbage, but left to itself the heap grows to its limit before they go, and
+    stays there.
+    """
+    jvm = spark.sparkContext._jvm.java.lang
+    heap = jvm.Runtime.getRuntime()
+    if heap.totalMemory() - heap.freeMemory() > HEAP_SHARE * heap.maxMemory():
+        jvm.System.gc()
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again."""
     spark = df.sparkSession
@@ -52,6 +66,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     with _freeing_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
+    _tidy(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._lf_path = path
     return out

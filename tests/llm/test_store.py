@@ -25,3 +25,17 @@ def test_saved_tables_come_and_go(spark):
     assert b.count() == 5
     assert store.forget(spark) >= 1
     assert not store._written
+
+
+def test_a_full_heap_is_collected(spark, monkeypatch):
+    def full_collections():
+        beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    monkeypatch.setattr(store, "HEAP_SHARE", 1.0)
+    before = full_collections()
+    store.saved(spark.range(3), "c")
+    assert full_collections() == before
+    monkeypatch.setattr(store, "HEAP_SHARE", 0.0)
+    store.saved(spark.range(3), "d")
+    assert full_collections() > before
